@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op3_decontamination, op6_chat, op8_sharding, op10_packing
+from . import op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op8_sharding, op10_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +17,14 @@ def op3_decontamination_query(spark, sf_dir):
     return op3_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("hit_words")
 
 
+def op4_embedding_query(spark, sf_dir):
+    return op4_embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_jaccard_query(spark, sf_dir):
+    return op5_jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op6_chat_query(spark, sf_dir):
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(op6_chat.stray_conversation(spark))
     return op6_chat.digests(op6_chat.format_chats(rows))
@@ -33,6 +41,8 @@ def op10_packing_query(spark, sf_dir):
 def queries():
     return {
         "op3_benchmark_decontamination": op3_decontamination_query,
+        "op4_embedding_near_dedup": op4_embedding_query,
+        "op5_ngram_jaccard_join": op5_jaccard_query,
         "op6_chat_formatting": op6_chat_query,
         "op8_sharding": op8_sharding_query,
         "op10_best_fit_packing": op10_packing_query,
