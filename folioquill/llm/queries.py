@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op8_sharding, op10_packing
+from . import op2_substring, op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op8_sharding, op10_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -13,6 +13,10 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_substring_query(spark, sf_dir):
+    return op2_substring.removal_report(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination_query(spark, sf_dir):
     return op3_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("hit_words")
 
@@ -40,6 +44,7 @@ def op10_packing_query(spark, sf_dir):
 
 def queries():
     return {
+        "op2_substring_dedup": op2_substring_query,
         "op3_benchmark_decontamination": op3_decontamination_query,
         "op4_embedding_near_dedup": op4_embedding_query,
         "op5_ngram_jaccard_join": op5_jaccard_query,
@@ -50,4 +55,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_benchmark_decontamination": op3_decontamination.SQL, "op6_chat_formatting": op6_chat.SQL}
+    return {"op2_substring_dedup": op2_substring.SQL, "op3_benchmark_decontamination": op3_decontamination.SQL, "op6_chat_formatting": op6_chat.SQL}
