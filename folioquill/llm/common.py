@@ -42,7 +42,7 @@ def gapless_rank(df: DataFrame, keys: list[str], order: str, n_rows: int, out: s
     true rows are numbered before the others of their key.
     """
     n = max(16, n_rows // 4000)
-    bucket = F.pmod(F.xxhash64(order), F.lit(n))
+    bucket = F.pmod(F.xxhash64(order, F.lit(17)), F.lit(n))  # a hash of its own, in case the key is a hash of the row
     if first is not None:
         bucket = bucket + F.when(first, 0).otherwise(n)
     x = df.withColumn("_bucket", bucket)
