@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op2_substring, op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op8_sharding, op10_packing
+from . import op2_substring, op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op7_language, op8_sharding, op9_licences, op10_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,10 +34,18 @@ def op6_chat_query(spark, sf_dir):
     return op6_chat.digests(op6_chat.format_chats(rows))
 
 
+def op7_language_query(spark, sf_dir):
+    return op7_language.predict_languages(_read(spark, sf_dir, "documents"))
+
+
 def op8_sharding_query(spark, sf_dir):
     return op8_sharding.assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def op9_licence_query(spark, sf_dir):
+    return op9_licences.scan_licences(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing_query(spark, sf_dir):
     return op10_packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -49,10 +57,12 @@ def queries():
         "op4_embedding_near_dedup": op4_embedding_query,
         "op5_ngram_jaccard_join": op5_jaccard_query,
         "op6_chat_formatting": op6_chat_query,
+        "op7_language_id": op7_language_query,
         "op8_sharding": op8_sharding_query,
+        "op9_licence_scans": op9_licence_query,
         "op10_best_fit_packing": op10_packing_query,
     }
 
 
 def oracle_sql():
-    return {"op2_substring_dedup": op2_substring.SQL, "op3_benchmark_decontamination": op3_decontamination.SQL, "op6_chat_formatting": op6_chat.SQL}
+    return {"op2_substring_dedup": op2_substring.SQL, "op3_benchmark_decontamination": op3_decontamination.SQL, "op6_chat_formatting": op6_chat.SQL, "op9_licence_scans": op9_licences.SQL}
