@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import op2_substring, op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op7_language, op8_sharding, op9_licences, op10_packing
+from . import op1_suffix, op2_substring, op3_decontamination, op4_embeddings, op5_jaccard, op6_chat, op7_language, op8_sharding, op9_licences, op10_packing
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -13,6 +13,10 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_query(spark, sf_dir):
+    return op1_suffix.remove_repeated(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_substring_query(spark, sf_dir):
     return op2_substring.removal_report(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_packing_query(spark, sf_dir):
 
 def queries():
     return {
+        "op1_suffix_array_dedup": op1_suffix_query,
         "op2_substring_dedup": op2_substring_query,
         "op3_benchmark_decontamination": op3_decontamination_query,
         "op4_embedding_near_dedup": op4_embedding_query,
