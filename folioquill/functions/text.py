@@ -137,7 +137,7 @@ def sanitize_body(body: Column, limit: int = 50_000) -> Column:
 def seconds(ts: Column) -> Column:
     """[H:]MM:SS as seconds."""
     p = F.split(ts, ":")
-    return F.aggregate(p, F.lit(0), lambda a, x: a * 60 + x.cast("int"))
+    return F.aggregate(p, F.lit(0), lambda a, x: a * 60 + x.try_cast("int"))
 
 
 def timecode(total: Column) -> Column:

@@ -35,8 +35,8 @@ def recover(pairs: DataFrame) -> DataFrame:
     """(key, mode, text): 'replaced' below REPLACE, 'appended' with the blocks that are mostly gone, else null and unchanged."""
     x = pairs.select("key", "converted", blocks(F.col("original")).alias("blocks"), T.vocabulary(F.col("converted")).alias("have"), T.vocabulary(F.col("original")).alias("want"))
     gone = lambda b: F.size(F.array_except(T.vocabulary(b), F.col("have")))
-    missing = F.filter("blocks", lambda b: (gone(b) >= 3) & (gone(b) / F.size(T.vocabulary(b)) > 0.4))
-    x = x.withColumn("missing", missing).withColumn("share", F.size(F.array_intersect("want", "have")) / F.size("want"))
+    missing = F.filter("blocks", lambda b: (gone(b) >= 3) & (F.try_divide(gone(b), F.size(T.vocabulary(b))) > 0.4))
+    x = x.withColumn("missing", missing).withColumn("share", F.try_divide(F.size(F.array_intersect("want", "have")), F.size("want")))
     low = (F.size("blocks") > 0) & (F.col("share") < REPLACE)
     some = F.size("missing") > 0
     mode = F.when(low, "replaced").when(some, "appended")
@@ -61,7 +61,7 @@ def check_numbering(docs: DataFrame) -> DataFrame:
     """(key, matches, mismatches, resets): bulleted sub-numbers against their section, and restarts of the section count."""
     x = sections(docs)
     top, sub = F.col("line").rlike(SECTION), F.regexp_extract("line", SUBITEM, 1)
-    x = x.withColumn("top", F.when(top, F.regexp_extract("line", SECTION, 1).cast("long"))).withColumn("sub", F.when(~top & (sub != "") & F.col("section").isNotNull(), sub))
+    x = x.withColumn("top", F.when(top, F.regexp_extract("line", SECTION, 1).try_cast("long"))).withColumn("sub", F.when(~top & (sub != "") & F.col("section").isNotNull(), sub))
     before = F.last("top", True).over(W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
     x = x.withColumn("reset", F.coalesce(F.col("top") <= before, F.lit(False)))
     return x.groupBy("key").agg(F.count_if(F.col("sub") == F.col("section")).alias("matches"), F.count_if(F.col("sub") != F.col("section")).alias("mismatches"), F.count_if("reset").alias("resets"))
@@ -71,7 +71,7 @@ def numbering_flags(docs: DataFrame) -> DataFrame:
     """(key, mismatches, total): hierarchical numbers, bulleted or not, that disagree with the last top-level number."""
     bare = F.regexp_replace(T.strip(F.col("line")), r"\A[-*] ", "")
     sub, top = F.regexp_extract(bare, r"\A(\d+)(?:\.\d+)+[.)]?\s", 1), F.regexp_extract(bare, r"\A(\d+)[.)]\s", 1)
-    x = _lines(docs).withColumn("sub", F.nullif(sub, F.lit("")).cast("long")).withColumn("top", F.when(sub == "", F.nullif(top, F.lit("")).cast("long")))
+    x = _lines(docs).withColumn("sub", sub.try_cast("long")).withColumn("top", F.when(sub == "", top.try_cast("long")))
     x = x.withColumn("section", _carry(F.col("top")))
     return x.groupBy("key").agg(F.count_if(F.col("sub") != F.col("section")).alias("mismatches"), F.count("sub").alias("total"))
 
