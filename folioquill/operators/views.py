@@ -33,7 +33,7 @@ class Parser:
     """Precedence climbing over one expression."""
 
     def __init__(self, text: str, scope: Scope, open_formulas: tuple[str, ...] = ()):
-        self.scope, self.open, self.items, at = scope, open_formulas, [], 0
+        self.scope, self.open, self.items, self.blank, at = scope, open_formulas, [], [], 0
         while at < len(text.rstrip()):
             m = TOKEN.match(text, at)
             if not m:
@@ -88,7 +88,10 @@ class Parser:
         if kind == "num":
             return F.lit(float(value) if "." in value else int(value))
         if kind == "str":
-            return F.lit(re.sub(r"\\(.)", r"\1", value[1:-1]))
+            x = F.lit(re.sub(r"\\(.)", r"\1", value[1:-1]))
+            if len(value) == 2:
+                self.blank.append(x)
+            return x
         if value == "(":
             x = self.expression(0)
             self.take(")")
@@ -149,7 +152,7 @@ class Parser:
     def call(self, name, args):
         today = F.lit(self.scope.as_of).cast("date")
         if name == "if":
-            yes, no = (F.lit(None) if str(a) == "Column<''>" else a for a in (*args[1:], F.lit(None), F.lit(None))[:2])  # an empty text stands for no value
+            yes, no = (F.lit(None) if any(a is b for b in self.blank) else a for a in (*args[1:], F.lit(None), F.lit(None))[:2])  # an empty text stands for no value
             return F.when(truth(args[0]), yes).otherwise(no)
         if name in ("now", "today"):
             return today
