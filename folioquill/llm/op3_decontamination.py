@@ -64,7 +64,7 @@ def scan(docs: DataFrame, windows: DataFrame, gram: int = GRAM) -> DataFrame:
         return x.select("doc_id", "n_words", F.when(hit, F.col("words")).alias("words"))
     tried = x.select("doc_id", F.explode(F.concat(*probes)).alias("h"))
     some = tried.join(grams, "h", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
-    return x.join(some, "doc_id", "left").select("doc_id", "n_words", F.when("hit", F.col("words")).alias("words"))
+    return x.join(some, "doc_id", "left").select("doc_id", "n_words", F.when(F.col("hit"), F.col("words")).alias("words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
