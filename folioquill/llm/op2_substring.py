@@ -58,7 +58,7 @@ def _hash_spans(batches):
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, size) of every span that is not the first of its text."""
-    x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     x = materialize(x.mapInArrow(_hash_spans, "h long, g long, doc_id long, at int, size int"), "spans")
     many = materialize(x.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     y = materialize(x.join(many, "h"), "candidates")
@@ -70,7 +70,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with ``text`` cut, and _n_sentences, _n_removed, _n_cut_chars.
 
     A null text stays null; empty texts have no sentences. Equal rows with equal doc_id are one
-    document to the span join, so give unique ids. Extra columns pass through; names with the
+    document to the span join, so give unique ids; a null doc_id is neither compared nor cut. Extra columns pass through; names with the
     prefix ``_`` are reserved. An empty table gives no rows.
     """
     gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans

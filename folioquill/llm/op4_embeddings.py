@@ -42,8 +42,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     Only vectors of equal, non-null labels and equal length are compared. Null or zero vectors and those with null or
     non-finite components link with nothing. Recall is that of the hashing: with the defaults a
-    pair at the threshold is missed with a chance of about e-5, nearer ones less. vec_id must be
-    unique; other columns are ignored; an empty table gives no rows.
+    pair at the threshold is missed with a chance of about e-5, nearer ones less. Rows of one
+    vec_id are vectors of their own that share a name; a null vec_id names nothing. Other columns are
+    ignored; an empty table gives no rows.
     """
     base = vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -51,7 +52,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     base = materialize(base.withColumn("c", F.when(good, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "vectors")
     ids = base.select("vec_id", "c")
     groups = materialize(base.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = base.join(groups.select(F.col("rep").alias("vec_id"), "n"), "vec_id").select("vec_id", "v", F.xxhash64(F.col("label").cast("string"), F.size("v")).alias("label"), "n")
+    reps = base.join(groups.select("c", F.col("rep").alias("vec_id"), "n"), ["c", "vec_id"]).dropDuplicates(["c"]).select("vec_id", "v", F.xxhash64(F.col("label").cast("string"), F.size("v")).alias("label"), "n")
 
     def hashed(batches):
         known = {}

@@ -120,7 +120,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").toArrow().to_pylist()  # at most `sample` rows
-    found = sorted((r for r in found if has_letter(r["text"])), key=lambda r: (r["doc_id"], r["text"], r["lang"]))[:sample]
+    found = sorted((r for r in found if has_letter(r["text"])), key=lambda r: (r["doc_id"] or 0, r["text"], r["lang"]))[:sample]
     return fit([r["text"] for r in found], [r["lang"] for r in found]) if found else None
 
 
