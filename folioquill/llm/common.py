@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -17,18 +18,40 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{os.path.join(tempfile.gettempdir(), 'folioquill-shared')}").rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts lineage: a lost executor costs only the running stage. The folder's own
-    retention removes the tables, because lazy results may still read them.
+    This cuts lineage: a lost executor costs only the running stage. Tables made inside a ``tidy``
+    function go when it returns, except those to ``keep``, which its lazy result still reads; the
+    folder's own retention removes these.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f):
+    """Make ``f`` (its first argument a DataFrame) remove the tables that it wrote and does not keep."""
+    @functools.wraps(f)
+    def run(df, *args, **kwargs):
+        _scopes.append([])
+        try:
+            return f(df, *args, **kwargs)
+        finally:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            for name in _scopes.pop():
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
+
+    return run
+
+
 def ascii_lower(c):
     """Lower-case A-Z only. All-ASCII texts take the fast path; others keep their non-ASCII letters."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 SENTENCES, WORDS = 3, 12
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
@@ -66,6 +66,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return y.join(first, ["h", "g"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "size")
 
 
+@tidy
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with ``text`` cut, and _n_sentences, _n_removed, _n_cut_chars.
 
@@ -75,7 +76,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans
     names = docs.columns
-    gone = materialize(gone, "cuts").withColumnRenamed("doc_id", "_doc_id")
+    gone = materialize(gone, "cuts", keep=True).withColumnRenamed("doc_id", "_doc_id")
     keep = [c for c in names if c != "text"]
     y = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
     y = y.select(*keep, F.col("text").cast("string").alias("text"), F.col("_cut.at").alias("_at"), F.col("_cut.size").alias("_size"))
@@ -106,9 +107,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_sentences, n_removed, n_cut_chars, kept_sha256 (null text: of the empty string)."""
+    """Per document: doc_id, n_sentences, n_removed, n_cut_chars, kept_sha256 (null text: of the empty string), repeated (n_removed > 0)."""
     x = remove_repeats(docs.select("doc_id", "text"))
-    return x.select("doc_id", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.col("_n_cut_chars").alias("n_cut_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return x.select("doc_id", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.col("_n_cut_chars").alias("n_cut_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.col("_n_removed") > 0).alias("repeated"))
 
 
 SQL = r"""
@@ -128,6 +129,6 @@ gone AS (SELECT DISTINCT s.doc_id, s.part FROM later l JOIN sent s ON s.doc_id =
 kept AS (
   SELECT p.doc_id, string_agg(p.s, '' ORDER BY p.part) FILTER (WHERE g.part IS NULL) AS text, count(g.part) AS n_removed, sum(CASE WHEN g.part IS NOT NULL THEN length(p.s) ELSE 0 END) AS cut, count(*) FILTER (WHERE len(p.ws) > 0) AS n
   FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.part = g.part GROUP BY p.doc_id)
-SELECT d.doc_id, coalesce(k.n, 0) AS n_sentences, coalesce(k.n_removed, 0) AS n_removed, CAST(coalesce(k.cut, 0) AS BIGINT) AS n_cut_chars, sha256(coalesce(k.text, '')) AS kept_sha256
+SELECT d.doc_id, coalesce(k.n, 0) AS n_sentences, coalesce(k.n_removed, 0) AS n_removed, CAST(coalesce(k.cut, 0) AS BIGINT) AS n_cut_chars, sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(k.n_removed, 0) > 0 AS repeated
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, materialize
+from .common import components, materialize, tidy
 
 COSINE, TABLES, PROJECTIONS, WIDTH, BLOCK = 0.98, 40, 8, 1.0, 512
 
@@ -37,6 +37,7 @@ def hasher(dim: int, tables: int, projections: int, width: float, seed: int = 7)
     return codes
 
 
+@tidy
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
@@ -49,7 +50,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     base = vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
-    base = materialize(base.withColumn("c", F.when(good, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "vectors")
+    base = materialize(base.withColumn("c", F.when(good, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "vectors", keep=True)
     ids = base.select("vec_id", "c")
     groups = materialize(base.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = base.join(groups.select("c", F.col("rep").alias("vec_id"), "n"), ["c", "vec_id"]).dropDuplicates(["c"]).select("vec_id", "v", F.xxhash64(F.col("label").cast("string"), F.size("v")).alias("label"), "n")
@@ -101,7 +102,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     counts = found.where("to is null").groupBy("id").agg(F.sum("links").alias("links"))
     label = components(found.where("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     named = groups.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialize(named.select("c", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
+    named = materialize(named.select("c", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named", keep=True)
     y = ids.join(named, "c", "left")
     y = y.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return y.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import gapless_rank, materialize
+from .common import gapless_rank, materialize, tidy
 
 SHARDS, ROUNDS, SLACK = 8, 4, 1.02
 
@@ -37,6 +37,7 @@ def propagate(nodes: DataFrame, n_rows: int, shards: int = SHARDS, rounds: int =
     return nodes
 
 
+@tidy
 def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Shard all documents; the shards' row counts differ by at most one.
 
@@ -60,7 +61,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -
     share = {s: n_rows // shards + (s < n_rows % shards) for s in range(shards)}
     have = {r["shard"]: r["count"] for r in nodes.groupBy("shard").count().collect()}  # at most `shards` rows
     per = lambda c, value: reduce(lambda x, s: x.when(F.col(c) == s, F.lit(value[s])), range(shards), F.when(F.lit(False), F.lit(0)))
-    ranked = materialize(gapless_rank(nodes, ["shard"], "doc_id", n_rows, "slot", F.col("grp").isNotNull()), "ranked")
+    ranked = materialize(gapless_rank(nodes, ["shard"], "doc_id", n_rows, "slot", F.col("grp").isNotNull()), "ranked", keep=True)
     spare, at = {}, 0
     for s in range(shards):  # running start of each overfull shard's surplus
         spare[s], at = at, at + max(0, have.get(s, 0) - share[s])
