@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 LENGTH, GRAM = 400, 64
 CHUNK_BITS = 20
@@ -203,8 +203,14 @@ def repeated(x: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return of[starts]
 
 
+MARKS = "doc_id long, lo long, n long, h long, part long, digests array<long>, docs array<long>, los array<long>, known array<boolean>"
+
+
 def shard_marks(length: int):
-    """Rows (0, doc_id, lo, n, 0): windows repeated within the shard; (1, doc_id, lo, many, digest): windows of a split anchor, still to be merged."""
+    """Rows of marks: runs of windows repeated within the shard (doc_id, lo, n), and for split anchors (h, part) the
+    shard's sorted windows, one of each class, cut at fixed digests: blocks for ``merged``."""
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3 + [pa.list_(pa.bool_())]
+    names = ["doc_id", "lo", "n", "h", "part", "digests", "docs", "los", "known"]
 
     def run(batches):
         def close(held):
@@ -215,34 +221,35 @@ def shard_marks(length: int):
             inside = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
             of = repeated(x, at[piece] + inside, length)
             many = np.bincount(of)[of] > 1
-            doc, lo, single, split = (np.array([r[k] for r in held]) for k in (1, 2, 4, 5))
+            anchor, doc, lo, single, shards = (np.array([r[k] for r in held]) for k in (0, 1, 2, 4, 5))
             hit = np.flatnonzero(many & single[piece])
-            out = [np.zeros(len(hit), np.int64), doc[piece[hit]], lo[piece[hit]] + inside[hit], np.ones(len(hit), np.int64), np.zeros(len(hit), np.int64)]
             if len(hit):  # windows in a row are one mark
-                new = np.r_[True, (piece[hit][1:] != piece[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]
-                first = np.flatnonzero(new)
-                out = [c[first] for c in out]
-                out[3] = np.diff(np.r_[first, len(hit)])
-            if split.any():
+                first = np.flatnonzero(np.r_[True, (piece[hit][1:] != piece[hit][:-1]) | (hit[1:] != hit[:-1] + 1)])
+                cols = [doc[piece[hit]][first], (lo[piece[hit]] + inside[hit])[first], np.diff(np.r_[first, len(hit)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols] + [pa.nulls(len(first), t) for t in kinds[3:]], names=names)
+            if (shards > 1).any():
                 _, one = np.unique(of, return_index=True)
-                keep = np.zeros(len(of), bool)
-                keep[one] = True
-                k = np.flatnonzero(keep & split[piece])
-                digest = [int.from_bytes(hashlib.blake2b(x[s : s + length].tobytes(), digest_size=8).digest(), "little", signed=True) for s in at[piece[k]] + inside[k]]
-                more = [np.ones(len(k), np.int64), doc[piece[k]], lo[piece[k]] + inside[k], (many | ~single[piece])[k].astype(np.int64), np.array(digest, np.int64)]
-                out = [np.concatenate(c) for c in zip(out, more)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in out], names=["kind", "doc_id", "lo", "n", "digest"])
+                one = one[shards[piece[one]] > 1]
+                digest = np.array([int.from_bytes(hashlib.blake2b(x[s : s + length].tobytes(), digest_size=8).digest(), "little") for s in (at[piece] + inside)[one]], U)
+                part = (digest >> U(32)) * shards[piece[one]].astype(U) >> U(32)
+                order = np.lexsort((digest, part, anchor[piece[one]]))
+                one, digest, part = one[order], digest[order].view(np.int64), part[order].astype(np.int64)
+                h = anchor[piece[one]]
+                cuts = [*np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])]).tolist(), len(one)]
+                for a, e in zip(cuts, cuts[1:]):
+                    k = one[a:e]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([v], t) for v, t in zip((int(h[a]), int(part[a]), digest[a:e], doc[piece[k]], lo[piece[k]] + inside[k], (many | ~single[piece])[k]), kinds[3:])], names=names)
 
         held, size, last = [], 0, None
         for batch in batches:
-            cols = [batch.column(k) for k in ("h", "salt", "doc_id", "lo", "n", "single", "split", "bytes")]
-            for h, salt, doc, lo, n, single, split, b in zip(*(c.to_pylist() for c in cols[:-1]), cols[-1]):
+            cols = [batch.column(k) for k in ("h", "salt", "doc_id", "lo", "n", "single", "shards", "bytes")]
+            for h, salt, doc, lo, n, single, shards, b in zip(*(c.to_pylist() for c in cols[:-1]), cols[-1]):
                 b = _bytes(b)
                 if (h, salt) != last and size + len(b) > SHARD_BYTES // 2 and held:
                     yield from close(held)
                     held, size = [], 0
                 last = (h, salt)
-                held.append((h, doc, lo, n, single, split, b.copy()))
+                held.append((h, doc, lo, n, single, shards, b.copy()))
                 size += len(b)
         if held:
             yield from close(held)
@@ -250,19 +257,18 @@ def shard_marks(length: int):
     return run
 
 
-def merged(batches):
-    """Windows of split anchors that a binary search in the other shards' sorted windows finds again."""
-    cols = [np.concatenate(c) if c else np.empty(0, np.int64) for c in zip(*([np.asarray(b.column(k)) for k in range(4)] for b in batches))] or [np.empty(0, np.int64)] * 4
-    doc, lo, many, digest = cols
+def merged(key, table):
+    """Windows of one part of a split anchor that a binary search in all its shards' sorted blocks finds more than once."""
+    digest, doc, lo, known = (np.concatenate([np.asarray(v.values) for v in table[c]]) for c in ("digests", "docs", "los", "known"))
     order = np.sort(digest)
     found = np.searchsorted(order, digest, side="right") - np.searchsorted(order, digest, side="left")
-    k = np.flatnonzero((found > 1) & (many == 0))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(lo[k]), pa.array(np.ones(len(k), np.int32))], names=["doc_id", "lo", "n"])
+    k = np.flatnonzero((found > 1) & ~known.astype(bool))
+    return pa.table({"doc_id": pa.array(doc[k]), "lo": pa.array(lo[k]), "n": pa.array(np.ones(len(k), np.int32))})
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, lo, n): runs of n windows, from byte lo on, that start anywhere else too."""
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     mark = "doc_id long, lo long, n int"
     all_pieces = materialize(text.mapInArrow(anchors(length, gram), "h long, digest long, doc_id long, lo long, n int, off int"), "pieces")
     often = all_pieces.groupBy("h").agg(F.count("*").alias("k"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("k > 1")
@@ -275,8 +281,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     copies = mixed.join(kinds.where("k > 1").select("h", "digest"), ["h", "digest"]).select("doc_id", "lo", "n")
     crowd = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_PIECES), "crowds")
     kinds = kinds.join(crowd, "h", "left").select(
-        "h", F.coalesce(F.pmod("digest", F.ceil(F.col("kinds") / SHARD_PIECES)), F.lit(0)).cast("long").alias("salt"), "one.doc_id", "one.lo", "one.n", (F.col("k") == 1).alias("single"), F.col("kinds").isNotNull().alias("split"))
-    wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("h", "salt", "lo", "n", "single", "split")).alias("p"))  # at most a document's own pieces
+        "h", F.coalesce(F.pmod("digest", F.ceil(F.col("kinds") / SHARD_PIECES)), F.lit(0)).cast("long").alias("salt"), "one.doc_id", "one.lo", "one.n", (F.col("k") == 1).alias("single"),
+        F.coalesce(F.ceil(F.col("kinds") / SHARD_PIECES), F.lit(1)).cast("long").alias("shards"))
+    wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("h", "salt", "lo", "n", "single", "shards")).alias("p"))  # at most a document's own pieces
     wanted = materialize(wanted, "wanted")
 
     def slices(batches):
@@ -286,28 +293,30 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 ps = ps.as_py()
                 yield pa.RecordBatch.from_pydict({
                     "h": [p["h"] for p in ps], "salt": [p["salt"] for p in ps], "doc_id": [doc] * len(ps), "lo": [p["lo"] for p in ps], "n": pa.array([p["n"] for p in ps], pa.int32()),
-                    "single": [p["single"] for p in ps], "split": [p["split"] for p in ps], "bytes": pa.array([b[p["lo"] : p["lo"] + p["n"] - 1 + length] for p in ps], pa.binary())})
+                    "single": [p["single"] for p in ps], "shards": [p["shards"] for p in ps], "bytes": pa.array([b[p["lo"] : p["lo"] + p["n"] - 1 + length] for p in ps], pa.binary())})
 
-    dealt = text.join(wanted, "doc_id").mapInArrow(slices, "h long, salt long, doc_id long, lo long, n int, single boolean, split boolean, bytes binary")
+    dealt = text.join(wanted, "doc_id").mapInArrow(slices, "h long, salt long, doc_id long, lo long, n int, single boolean, shards long, bytes binary")
     dealt = dealt.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    sharded = materialize(dealt.mapInArrow(shard_marks(length), "kind long, doc_id long, lo long, n long, digest long"), "shards")
-    near = sharded.where("kind = 0").select("doc_id", "lo", F.col("n").cast("int"))
+    sharded = materialize(dealt.mapInArrow(shard_marks(length), MARKS), "shards")
+    near = sharded.where("h is null").select("doc_id", "lo", F.col("n").cast("int"))
     marks = whole.unionByName(copies).unionByName(near)
     if not crowd.isEmpty():
-        between = sharded.where("kind = 1").select("doc_id", "lo", "n", "digest").repartitionByRange("digest")
-        marks = marks.unionByName(between.mapInArrow(merged, mark))
+        blocks = sharded.where("h is not null").select("h", "part", "digests", "docs", "los", "known")
+        marks = marks.unionByName(blocks.groupBy("h", "part").applyInArrow(merged, mark))
     return marks
 
 
+@tidy
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes).
 
     Null text counts as empty; texts shorter than ``length`` bytes keep all. Every copy loses its
-    repeated bytes, so an exact copy of enough bytes keeps none. doc_id must be unique; other
-    columns are ignored; an empty table gives no rows.
+    repeated bytes, so an exact copy of enough bytes keeps none. Rows of one doc_id are one document
+    that holds each text; a null doc_id is neither compared nor cut. Other columns are ignored; an
+    empty table gives no rows.
     """
     marks = repeated_windows(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("marks"))  # at most a document's own pieces
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(materialize(marks, "marks"), "doc_id", "left")
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(materialize(marks, "marks", keep=True), "doc_id", "left")
 
     def cut(batches):
         for batch in batches:
