@@ -9,8 +9,10 @@ the first D + 1 of two linked documents must then share one (pigeonhole). Those
 size band, and every pair that meets is verified on the whole sets.
 
 Pairs are not multiplied out. Equal sets are one class; in a group that shares a segment each
-member is first checked against one pivot, and only members of still different components are
-checked against each other afterwards, so no link is lost.
+member is first checked against one pivot. Members that are then still in different components
+are compared inside a task by the Hamming distance of their sketches; a first pass over two groups of
+each class sends on one spanning forest of the pairs that may be linked, a second pass over all
+groups sends on all that are left, so no link is lost.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from .common import components, materialize
+from .common import components, materialize, tidy
 
 WORDS = 5
 BAND = 4  # sizes of a band span this factor
 FLUSH = 1_000_000  # keys that a task combines at a time
 BROADCAST_IDS = 200_000
-ROW = "kind int, a long, b long, d long"
+BLOCK = 4096  # members of a group that are compared at once
 U = np.uint64
 
 
@@ -89,6 +91,20 @@ def segment_keys(sh: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def parity_sketch(sh: np.ndarray) -> np.ndarray:
+    """Bits, in 64-bit words, each the parity of the shingles that fall on it: a power of two of them, at least four to a shingle."""
+    bits = 64
+    while bits < 4 * len(sh):
+        bits *= 2
+    odd = np.bincount((sh >> U(3)) & U(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch with as few words: the parity of its parts."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), 0)
+
+
 def _texts(batches):
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -103,57 +119,108 @@ def class_of(sh: np.ndarray) -> int:
     return int(mix((parts * PLACE[:3]).sum(keepdims=True)).view(np.int64)[0])
 
 
-def _rows(kind, a, b, d):
-    cols = [np.asarray(x).astype(np.int64, copy=False) if not np.asarray(x).dtype == U else np.asarray(x).view(np.int64) for x in (a, b, d)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *map(pa.array, cols)], names=["kind", "a", "b", "d"])
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64, copy=False))
 
 
-def sketch(batches):
-    """Rows (0, doc_id, class, size), (1, key, class, 0) and (2, key, pivot, class).
+def classify(batches):
+    """(doc_id, class, size) of each text."""
+    for batch in batches:
+        ids = pa.array(batch.column(0))
+        out = [(class_of(s), len(s)) for s in map(shingles, (t.as_py() for t in batch.column(1)))]
+        yield pa.RecordBatch.from_arrays([ids, pa.array([c for c, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["doc_id", "c", "n"])
 
-    Keys that several classes of a task share are combined here: all but the smallest class become
-    edges at once, so a hot key leaves a task once.
-    """
-    docs, keys, seen, held = [], [], set(), 0
+
+def emit_keys(batches):
+    """(key, class, pivot): pivot is null where a key leaves the task; keys that several classes of a task share are
+    combined here: all but the smallest class become edges to it, so a hot key leaves a task once."""
+    keys, seen, held = [], set(), 0
 
     def flush():
-        nonlocal docs, keys, seen, held
-        if docs:
-            yield _rows(0, *map(np.array, zip(*docs)))
-        if keys:
-            key = np.concatenate([k for k, _ in keys]).view(np.int64)
-            cls = np.repeat(np.array([c for _, c in keys], np.int64), [len(k) for k, _ in keys])
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
-            first = np.r_[True, key[1:] != key[:-1]]
-            pivot = cls[first][np.cumsum(first) - 1]
-            yield _rows(1, key[first], cls[first], np.zeros(int(first.sum()), np.int64))
-            rest = ~first & (cls != pivot)
-            if rest.any():
-                yield _rows(2, key[rest], pivot[rest], cls[rest])
-        docs, keys, seen, held = [], [], set(), 0
-
-    for doc_id, text in _texts(batches):
+        key = np.concatenate([k for k, _ in keys]).view(np.int64)
+        cls = np.repeat(np.array([c for _, c in keys], np.int64), [len(k) for k, _ in keys])
+        order = np.lexsort((cls, key))
+        key, cls = key[order], cls[order]
+        first = np.r_[True, key[1:] != key[:-1]]
+        pivot = cls[first][np.cumsum(first) - 1]
+        keep = first | (cls != pivot)
+        yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(cls[keep]), pa.array(pivot[keep], mask=first[keep])], names=["key", "c", "pivot"])
+
+    for _, text in _texts(batches):
         sh = shingles(text)
         c = class_of(sh)
-        docs.append((doc_id, c, len(sh)))
         if len(sh) and c not in seen:
             seen.add(c)
-            k = segment_keys(sh)
-            keys.append((k, c))
-            held += len(k)
-        if held > FLUSH or len(docs) > 50_000:
+            keys.append((segment_keys(sh), c))
+            held += len(keys[-1][0])
+        if held > FLUSH or len(seen) > 50_000:
             yield from flush()
-    yield from flush()
+            keys, seen, held = [], set(), 0
+    if keys:
+        yield from flush()
+
+
+def may_link(everything: bool):
+    """Pairs (a, b) of classes in different components whose sketches are near enough, from rows sorted by group.
+
+    Rows: key, i, j, mine, c, comp, n, sketch. Without ``everything`` only a forest that joins the components.
+    """
+    def run(batches):
+        sent = set()
+
+        def compare(rows, i, j):
+            side = np.array([r[0] for r in rows])
+            c, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+            sketch = [np.frombuffer(r[4], U) for r in rows]
+            words = np.array([len(x) for x in sketch])
+            tables = {w: np.stack([folded(x, w) if len(x) >= w else np.zeros(w, U) for x in sketch]) for w in np.unique(words)}
+            label = np.unique(comp, return_inverse=True)[1]
+            left = np.flatnonzero(side == i)
+            for x in left:
+                y = np.flatnonzero((side == j) & (label != label[x]) & (5 * n >= 4 * n[x]) & (4 * n <= 5 * n[x]))
+                y = y[y > x] if i == j else y
+                for w in np.unique(np.minimum(words[y], words[x])):
+                    z = y[np.minimum(words[y], words[x]) == w]
+                    apart = np.bitwise_count(tables[w][z] ^ tables[w][x]).sum(1)
+                    z = z[9 * apart.astype(np.int64) <= n[z] + n[x]]
+                    while len(z):
+                        pair = (min(c[x], c[z[0]]), max(c[x], c[z[0]]))
+                        if pair not in sent:
+                            sent.add(pair)
+                            out.append(pair)
+                        if everything:
+                            z = z[1:]
+                        else:
+                            label[label == label[z[0]]] = label[x]
+                            z = z[label[z] != label[x]]
+
+        out, held, key = [], [], None
+        take = lambda: pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "i", "j", "mine", "c", "comp", "n", "sketch"))):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        compare(held, *key[1:])
+                    held, key = [], row[:3]
+                    if len(out) > 50_000:
+                        yield take()
+                        out.clear()
+                        sent.clear()
+                held.append(row[3:])
+        if len(held) > 1:
+            compare(held, *key[1:])
+        yield take()
+
+    return run
 
 
 def sets(batches):
-    """(class, set) of each text."""
+    """(class, size, sketch, set) of each text."""
     out, size = [], 0
-    make = lambda: pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int64()))], names=["c", "s"])
+    make = lambda: pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([parity_sketch(s).tobytes() for _, s in out], pa.binary()), pa.array([s.view(np.int64) for _, s in out], pa.list_(pa.int64()))], names=["c", "n", "sketch", "s"])
     for _, text in _texts(batches):
         sh = shingles(text)
-        out.append((class_of(sh), sh.view(np.int64)))
+        out.append((class_of(sh), sh))
         size += len(sh)
         if size > 500_000:
             yield make()
@@ -162,6 +229,7 @@ def sets(batches):
         yield make()
 
 
+@tidy
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -170,50 +238,52 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    x = materialize(text.mapInArrow(sketch, ROW), "sketches")
-    rows = x.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), F.col("d").alias("n"))
-    met = x.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("c"))
-    met = met.withColumn("pivot", F.min("c").over(W.partitionBy("key"))).where("c > pivot").select("key", "pivot", "c")
-    near = x.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.col("d").alias("c"))
-    star = materialize(met.unionByName(near), "stars")
-
-    classes = materialize(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = materialize(text.mapInArrow(classify, "doc_id long, c long, n long"), "classes", keep=True)
+    met = text.mapInArrow(emit_keys, "key long, c long, pivot long")
+    met = met.withColumn("least", F.min(F.when(F.col("pivot").isNull(), F.col("c"))).over(W.partitionBy("key")))
+    star = met.where("pivot is not null or c > least").select("key", F.coalesce("pivot", "least").alias("pivot"), "c")
+    star = materialize(star, "stars")
+
+    classes = materialize(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")), "representatives")
     members = materialize(star.select("key", "c").unionByName(star.select("key", F.col("pivot").alias("c"))).distinct(), "members")
     live = materialize(members.select("c").distinct().join(classes, "c"), "live")
     ids, n_live = live.select(F.col("rep").alias("doc_id")), live.count()
     chosen = text.join(F.broadcast(ids) if n_live <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    whole = materialize(chosen.mapInArrow(sets, "c long, s array<long>"), "sets")
+    whole = materialize(chosen.mapInArrow(sets, "c long, n long, sketch binary, s array<long>"), "sets")
 
     def linked(pairs):
         a, b = whole.select(F.col("c").alias("a"), F.col("s").alias("sa")), whole.select(F.col("c").alias("b"), F.col("s").alias("sb"))
         y = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-        return y.where(100 * F.col("both") >= 80 * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+        return materialize(y.where(100 * F.col("both") >= 80 * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"), "links")
 
-    def pairs_of(df, a, b):
-        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-    tried = materialize(pairs_of(star, "pivot", "c"), "tried")
-    links = materialize(linked(tried), "links")
+    pairs = star.select(F.least("pivot", "c").alias("a"), F.greatest("pivot", "c").alias("b")).distinct()
+    size = whole.select("c", "n")
+    pairs = pairs.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
+    tried = materialize(pairs.where("5 * na >= 4 * nb and 5 * nb >= 4 * na").select("a", "b"), "tried")
+    links = linked(tried)
     label = components(links)
     for everything in (False, True):
         # members whose group still holds several components
         at = materialize(members.join(label.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("comp")), "labelled")
-        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialize(at.join(materialize(mixed, "mixed"), "key"), "open")
-        other = mixed.select("key", F.col("c").alias("d"), F.col("comp").alias("other"))
-        if not everything:  # one pivot for each component of a group
-            other = mixed.groupBy("key", F.col("comp").alias("other")).agg(F.min("c").alias("d"))
-        new = pairs_of(mixed.join(other, "key").where("comp <> other"), "c", "d").join(tried, ["a", "b"], "left_anti")
-        new = materialize(new, "new")
+        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        x = at.join(materialize(mixed, "mixed"), "key")
+        if not everything:  # two groups of each class find most of what is linked: near copies share their least and greatest keys
+            x = x.withColumn("lo", F.min("key").over(W.partitionBy("c"))).withColumn("hi", F.max("key").over(W.partitionBy("c"))).where("key = lo or key = hi")
+        x = x.join(whole.select("c", "n", "sketch"), "c")
+        x = x.withColumn("mine", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        x = x.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "comp", "n", "sketch")
+        x = x.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine", "c")
+        new = materialize(x.mapInArrow(may_link(everything), "a long, b long"), "near").distinct()
+        new = materialize(new.join(tried, ["a", "b"], "left_anti"), "new")
         if new.isEmpty():
-            break
-        links = links.unionByName(materialize(linked(new), "links"))
+            continue
+        links = links.unionByName(linked(new))
         tried = tried.unionByName(new)
         label = components(links)
     named = classes.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("component", "c").alias("comp"))
     named = materialize(named, "named")
     smallest = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "smallest")
-    named = materialize(named.join(smallest, "comp").select("c", "component_id"), "named")
+    named = materialize(named.join(smallest, "comp").select("c", "component_id"), "named", keep=True)
     y = rows.join(named, "c", "left")
     y = y.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return y.withColumn("kept", F.col("doc_id") == F.col("component_id"))
