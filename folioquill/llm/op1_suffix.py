@@ -195,8 +195,11 @@ _BYTE_ENDS = np.array([1 << (8 * k) for k in range(1, 8)], U)
 
 
 def repeated(x: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start, the number of its class: starts whose next ``length`` bytes are equal share one."""
-    sa, _ = suffix_array(x, length)
+    """For each start, the number of its class: starts whose next ``length`` bytes are equal share one.
+
+    Kasai's rule needs the full order, so no ties are left.
+    """
+    sa, _ = suffix_array(x, len(x))
     shared = common_prefixes(x, sa, length)
     of = np.empty(len(x), np.int64)
     of[sa] = np.cumsum(shared < length)

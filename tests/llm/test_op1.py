@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from folioquill.llm import op1_suffix
-from folioquill.llm.op1_suffix import common_prefixes, remove_repeated, suffix_array
+from folioquill.llm.op1_suffix import common_prefixes, remove_repeated, repeated, suffix_array
 
 SCHEMA = "doc_id long, text string, spans string"
 
@@ -71,3 +71,19 @@ def test_suffix_array_and_prefixes():
                 k += 1
             lcp.append(k)
         assert common_prefixes(x, sa, 400, 7).tolist() == lcp
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pieces_that_share_more_than_the_length(seed):
+    rng = np.random.default_rng(seed)
+    base = bytes(rng.integers(97, 123, 736).tolist())
+    pieces = []
+    for k in rng.integers(640, 736, 8).tolist():
+        tail = bytearray(base)
+        tail[k:] = rng.integers(97, 123, 736 - k).tolist()
+        pieces.append(bytes(tail))
+    text = b"".join(pieces) + bytes(rng.integers(97, 123, 3000).tolist())
+    starts = np.arange(len(text) - 400 + 1)
+    got = repeated(np.frombuffer(text, np.uint8), starts, 400)
+    many = Counter(text[k : k + 400] for k in starts.tolist())
+    assert (np.bincount(got)[got] > 1).tolist() == [many[text[k : k + 400]] > 1 for k in starts.tolist()]
