@@ -30,8 +30,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated sentence spans; documents that lose all their text go. n_chars follows the text."""
-    cut = op2_substring.remove_repeats(docs)
+    """Texts without repeated passages; documents that lose all their text go. n_chars follows the text."""
+    cut = op2_substring.remove_repeats(docs, whole=True)
     cut = cut.where("_n_removed = 0 or length(trim(text)) > 0")
     return cut.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else c for c in docs.columns])
 

@@ -4,11 +4,18 @@ A sentence ends with its full stops, question or exclamation marks or line ends.
 sentence a span runs on for at least ``SENTENCES`` sentences and ``WORDS`` words; spans are hashed
 over their words, joined over all documents, and the sentences under any span that is not its
 text's first (by doc_id and place) are removed.
+
+With ``whole``, passages count too that are not three ASCII sentences: sentences also end at other
+scripts' stops, long ones are cut at places that their words decide, so that texts without stops and
+passages that begin inside a sentence meet, and ``PASSAGE`` words are enough for a span whatever its
+sentences. Spans also run back from every part's end, so that a repeated run goes to its last part.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +26,12 @@ from .common import materialize, tidy
 SENTENCES, WORDS = 3, 12
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 
+PASSAGE, CUT = 24, 16  # words of a span of any number of sentences; one of so many word pairs ends a part
+STOP = ".!?\\n\\r\x85\u2028\u2029。．｡！？…‼⁇⁈⁉؟۔।॥።"
+CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"  # scripts without blanks: each letter is a word
+WHOLE_SENTENCE, UNSPACED = re.compile(f"[^{STOP}]+[{STOP}]*|[{STOP}]+"), re.compile(f"[{CJK}]")
+WORD = re.compile(rf"\s*(?:[{CJK}]|[^\s{CJK}]+)")
+
 
 def sentences(text: str) -> tuple[list[str], list[int], list[bytes], np.ndarray]:
     """The text in parts that tile it; for the parts that hold words: their indices, words and running word counts."""
@@ -37,15 +50,81 @@ def spans(total: np.ndarray, least: int = SENTENCES, words: int = WORDS) -> tupl
     return i[ok], j[ok]
 
 
-def _hash_spans(batches):
+@functools.lru_cache(1 << 16)
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass").lower())
+
+
+def passages(text: str) -> tuple[list[str], list[int], list[bytes], np.ndarray, np.ndarray]:
+    """As ``sentences``, of the parts of ``whole``, and running counts of sentence ends."""
+    split = (lambda p: [w.strip() for w in WORD.findall(p)]) if UNSPACED.search(text) else str.split
+    found = WHOLE_SENTENCE.findall(text)
+    words = [split(p) for p in found]
+    size = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(size)
+    crc = np.array([_crc(w) for ws in words for w in ws], np.uint64)
+    before = np.r_[np.uint64(0), crc][: len(crc)]
+    before[(ends - size)[size > 0]] = 0  # a sentence's cuts depend on its own words
+    pair = crc * np.uint64(0x9E3779B97F4A7C15) + before * np.uint64(0xC2B2AE3D27D4EB4F)
+    cuts = np.flatnonzero((pair >> np.uint64(40)) % np.uint64(CUT) == 0) + 1
+    of = np.searchsorted(ends, cuts)  # the sentence that holds the word before the cut
+    inner: dict[int, list[int]] = {}
+    for i, k in zip(of.tolist(), (cuts - (ends - size)[of]).tolist()):
+        if k < len(words[i]):
+            inner.setdefault(i, []).append(k)
+    parts, at, norm, total, stops = [], [], [], [0], [0]
+    for i, (p, ws) in enumerate(zip(found, words)):
+        if not ws:
+            parts.append(p)
+            continue
+        past = [m.end() for m in WORD.finditer(p)] if i in inner else ()
+        a = b = 0
+        for k in [*inner.get(i, ()), len(ws)]:
+            last = k == len(ws)
+            e = len(p) if last else past[k - 1]
+            at.append(len(parts))
+            parts.append(p[b:e])
+            norm.append(" ".join(ws[a:k]).encode("utf-8", "surrogatepass").lower())
+            total.append(total[-1] + k - a)
+            stops.append(stops[-1] + last)
+            a, b = k, e
+    return parts, at, norm, np.array(total), np.array(stops)
+
+
+def whole_spans(total: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last part of the shortest spans from every part on and back from every part's end.
+
+    Any longer run that is a span is covered by the spans inside it. A last part counts as a
+    sentence and, for texts that go on after it, as none.
+    """
+    n, found = len(total) - 1, []
+    for s in (stops, np.r_[stops[:-1], stops[-2:-1]]) if n else ():
+        i = np.arange(n)
+        j = np.minimum(np.maximum(np.searchsorted(s, s[:-1] + SENTENCES), np.searchsorted(total, total[:-1] + WORDS)), np.searchsorted(total, total[:-1] + PASSAGE))
+        found += [i[j <= n] * (n + 1) + j[j <= n]]
+        back = lambda x, k: np.searchsorted(x, x[1:] - k, side="right") - 1
+        i, j = np.maximum(np.minimum(back(s, SENTENCES), back(total, WORDS)), back(total, PASSAGE)), i + 1
+        found += [i[i >= 0] * (n + 1) + j[i >= 0]]
+    both = np.unique(np.concatenate(found)) if n else np.empty(0, np.int64)
+    return both // (n + 1), both % (n + 1)
+
+
+def _spans_of(text: str, whole: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    if whole:
+        _, _, norm, *counts = passages(text)
+        return norm, *whole_spans(*counts)
+    _, _, norm, total = sentences(text)
+    return norm, *spans(total)
+
+
+def _hash_spans(batches, whole: bool = False):
     from xxhash import xxh3_128_digest
 
     for batch in batches:
         for k in range(0, batch.num_rows, 1000):
             part, h, doc, first, size = batch.slice(k, 1000), [], [], [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                _, _, norm, total = sentences(text.as_py() or "")
-                i, j = spans(total)
+                norm, i, j = _spans_of(text.as_py() or "", whole)
                 h += [xxh3_128_digest(b"\n".join(norm[a:b])) for a, b in zip(i.tolist(), j.tolist())]
                 doc += [doc_id] * len(i)
                 first.append(i)
@@ -56,10 +135,10 @@ def _hash_spans(batches):
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["h", "g", "doc_id", "at", "size"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, at, size) of every span that is not the first of its text."""
     x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    x = materialize(x.mapInArrow(_hash_spans, "h long, g long, doc_id long, at int, size int"), "spans")
+    x = materialize(x.mapInArrow(functools.partial(_hash_spans, whole=whole), "h long, g long, doc_id long, at int, size int"), "spans")
     many = materialize(x.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     y = materialize(x.join(many, "h"), "candidates")
     first = materialize(y.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
@@ -67,14 +146,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 @tidy
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` with ``text`` cut, and _n_sentences, _n_removed, _n_cut_chars.
+def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """The columns of ``docs`` with ``text`` cut, and _n_sentences, _n_removed, _n_cut_chars; with ``whole``, the parts of ``passages`` count as sentences.
 
     A null text stays null; empty texts have no sentences. Equal rows with equal doc_id are one
     document to the span join, so give unique ids; a null doc_id is neither compared nor cut. Extra columns pass through; names with the
     prefix ``_`` are reserved. An empty table gives no rows.
     """
-    gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans
+    gone = repeated_spans(docs, whole).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans
     names = docs.columns
     gone = materialize(gone, "cuts", keep=True).withColumnRenamed("doc_id", "_doc_id")
     keep = [c for c in names if c != "text"]
@@ -89,7 +168,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 texts, counts = [], []
                 for text, at, size in zip(part.column("text"), part.column("_at"), part.column("_size")):
                     text = text.as_py()
-                    parts, index, _, _ = sentences(text or "")
+                    parts, index, *_ = (passages if whole else sentences)(text or "")
                     mark = np.zeros(len(index) + 1, np.int64)
                     if at.is_valid and len(at):
                         a, s = np.array(at.as_py()), np.array(size.as_py())
@@ -106,9 +185,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return y.mapInArrow(cut, schema).select(*names, "_n_sentences", "_n_removed", "_n_cut_chars")
 
 
-def removal_report(docs: DataFrame) -> DataFrame:
+def removal_report(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Per document: doc_id, n_sentences, n_removed, n_cut_chars, kept_sha256 (null text: of the empty string), repeated (n_removed > 0)."""
-    x = remove_repeats(docs.select("doc_id", "text"))
+    x = remove_repeats(docs.select("doc_id", "text"), whole)
     return x.select("doc_id", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.col("_n_cut_chars").alias("n_cut_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.col("_n_removed") > 0).alias("repeated"))
 
 

@@ -68,6 +68,40 @@ def test_substring_dedup_brute(spark):
         assert got[d] == sha("".join(p for i, p in enumerate(ps) if i not in gone))
 
 
+def test_whole_passages_are_cut(spark):
+    rng = random.Random(5)
+    words = lambda n: prose(rng, n, "abcdefghijklmnop")
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    cases = [
+        words(40) + ". " + words(40) + ". ",  # two sentences
+        words(60) + ". ",  # one
+        " ".join(words(n) + "." for n in (10, 1, 1, 1)) + " ",  # the shortest span ends before the last sentence
+        han(20) + "。" + han(20) + "。" + han(20) + "！",
+    ]
+    texts = [f"{words(9)}. {c}{words(9)}." for c in cases for _ in range(2)]
+    bare = words(300)  # no stop at all
+    texts += [f"{words(150)} {bare} {words(150)}" for _ in range(2)]
+    got = {r["doc_id"]: r["text"] for r in op2_substring.remove_repeats(table(spark, texts), whole=True).collect()}
+    for k, c in enumerate(cases):
+        assert got[2 * k] == texts[2 * k]
+        assert "".join(got[2 * k + 1].split()) == "".join(texts[2 * k + 1].replace(c, "").split())
+    assert got[8] == texts[8] and len(texts[9]) - len(got[9]) > 0.75 * len(bare)
+
+
+def test_whole_spans_cover_every_repeated_run():
+    rng = random.Random(6)
+    for _ in range(200):
+        text = "".join(prose(rng, rng.randint(1, 9)) + rng.choice([". ", " ", "! ", "\n", "。", "؟ "]) for _ in range(rng.randint(0, 12)))
+        parts, at, norm, total, stops = op2_substring.passages(text)
+        assert "".join(parts) == text
+        pairs = set(zip(*(x.tolist() for x in op2_substring.whole_spans(total, stops))))
+        for a in range(len(at)):
+            for e in range(a + 1, len(at) + 1):
+                n, w = stops[e] - stops[a], total[e] - total[a]
+                if n >= 3 and w >= 12 or w >= 24:
+                    assert {k for i, j in pairs if a <= i and j <= e for k in range(i, j)} == set(range(a, e))
+
+
 def test_decontamination_brute(spark, monkeypatch):
     rng = random.Random(3)
     items = [prose(rng, rng.choice([1, 3, 9, 10, 25])) for _ in range(12)] + [None, "", "!!"]
