@@ -147,6 +147,12 @@ def queue_order(t):
     return planning.numbered(x.select("kind", "page", "added"), F.col("added"), F.col("kind"), F.col("page"), start=1, out="place")
 
 
+@query("queue_listing", f"WITH {QUEUE} SELECT done, row_number() OVER (PARTITION BY done ORDER BY CASE WHEN done THEN coalesce(done_date, '') END DESC, CASE WHEN done THEN added END DESC, added, kind, page, detail) AS place, kind, page, detail, added, done_date FROM q")
+def queue_listing(t):
+    """The whole queue in its order; queue_order is the first 50 open entries of it."""
+    return planning.queue_listing(planning.queue_state(queue_events(t)))
+
+
 @query("depth_labels", "SELECT 'full' AS depth, count(*) FILTER (p_partkey % 50 <> 0) AS n FROM part WHERE p_partkey % 10 IN (4, 5, 7, 8) AND (p_partkey % 10 <> 4 OR floor(p_retailprice * 2000) <= 2000000)")
 def depth_labels(t):
     x = inbox(t).where(planning.suffix(F.col("path")).isin(".md", ".png", ".zip", ".eml"))

@@ -149,6 +149,17 @@ def queue_state(events: DataFrame) -> DataFrame:
         "kind", "page", "detail", "added", F.col("end_seq").isNotNull().alias("done"), "done_date")
 
 
+def queue_listing(state: DataFrame) -> DataFrame:
+    """(done, place, kind, page, detail, added, done_date): every open entry by added, kind, page, and every done one by (done_date, added), newest first.
+
+    Places of both parts count from 1; equal dates of done entries go by kind, page, detail.
+    """
+    c, rest = F.col, (F.col("kind"), F.col("page"), F.col("detail"))
+    is_open = numbered(state.where("not done"), c("added"), *rest, start=1, out="place")
+    done = numbered(state.where("done"), F.coalesce("done_date", F.lit("")).desc(), c("added").desc(), *rest, start=1, out="place")
+    return is_open.unionByName(done).select("done", "place", "kind", "page", "detail", "added", "done_date")
+
+
 def queue_stats(state: DataFrame) -> DataFrame:
     """(kind, open, done) by kind, most open first."""
     return state.groupBy("kind").agg(F.count_if(~F.col("done")).alias("open"), F.count_if("done").alias("done")).orderBy(F.desc("open"), "kind")

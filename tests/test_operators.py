@@ -265,3 +265,12 @@ def test_streams(spark, tmp_path):
     q = jobs.queue(spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)).writeStream.outputMode("update").format("memory").queryName("queue").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["kind"], r["done"]) for r in spark.table("queue").collect()} == {("stale", True), ("link", True)}
+
+
+def test_queue_listing_is_whole(spark):
+    rows = [("k", f"p{i:03}", "d", f"2024-01-{i % 28 + 1:02}", i % 3 == 0, f"2024-02-{i % 5 + 1:02}" if i % 3 == 0 and i % 2 else None) for i in range(180)]
+    df = spark.createDataFrame(rows, "kind string, page string, detail string, added string, done boolean, done_date string")
+    got = {(r["done"], r["place"]): r["page"] for r in planning.queue_listing(df).collect()}
+    still = sorted((r for r in rows if not r[4]), key=lambda r: (r[3], r[0], r[1]))
+    done = sorted((r for r in rows if r[4]), key=lambda r: (r[5] or "", r[3]), reverse=True)
+    assert got == {(r[4], i + 1): r[1] for part in (still, done) for i, r in enumerate(part)}
