@@ -319,3 +319,14 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["decontamination"] == set(kept) - {24}
     assert ids["packing"] == ids["decontamination"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == ids["packing"]
+
+
+def test_wrapped_licence_text_is_no_claim(spark):
+    isc = op9_licences.TEXTS["ISC"]
+    wrapped = isc.replace("that the above copyright notice", "that the above\ncopyright notice")
+    assert wrapped != isc
+    claims = [wrapped.replace("Copyright (c) <year> <holder>", c) for c in ("Copyright (c) 2020 Jane Doe", "Copyright 2020, Jane Doe", "(c) 2020 Jane Doe", "© Jane Doe", "Copyright Jane Doe")]
+    texts = [wrapped, *claims, "a\n(c) keep this clause", "a"]
+    got = {r["doc_id"]: r for r in op9_licences.scan_licences(table(spark, texts)).collect()}
+    assert [got[i]["text_licence"] for i in range(6)] == ["ISC"] * 6
+    assert got[6]["digest"] != got[7]["digest"]
