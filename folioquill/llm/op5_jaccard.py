@@ -6,13 +6,16 @@ segments; sets of sizes n and m with a similarity of at least 0.8 differ in at m
 shingles, so all but so many segments agree. Each segment is held as the XOR of its shingles'
 hashes. Segments are taken by falling number of shingles, which is a property of their content:
 the first D + 1 of two linked documents must then share one (pigeonhole). Those are joined per
-size band, and every pair that meets is verified on the whole sets.
+size band, and pairs that meet from different components are verified on the whole sets.
 
 Pairs are not multiplied out. Equal sets are one class; in a group that shares a segment each
 member is first checked against one pivot. Members that are then still in different components
 are compared inside a task by the Hamming distance of their sketches; a first pass over two groups of
 each class sends on one spanning forest of the pairs that may be linked, a second pass over all
 groups sends on all that are left, so no link is lost.
+
+Only components are made: a pair already in one component is never tested, so there are neither link
+counts nor representative pairs.
 """
 
 from __future__ import annotations
