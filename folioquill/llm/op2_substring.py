@@ -1,21 +1,17 @@
 """Substring dedup on sliding sentence spans.
 
-A sentence ends with its full stops, question or exclamation marks or line ends. From every
-sentence a span runs on for at least ``SENTENCES`` sentences and ``WORDS`` words; spans are hashed
-over their words, joined over all documents, and the sentences under any span that is not its
-text's first (by doc_id and place) are removed.
-
-With ``whole``, passages count too that are not three ASCII sentences: sentences also end at other
-scripts' stops, long ones are cut at places that their words decide, so that texts without stops and
-passages that begin inside a sentence meet, and ``PASSAGE`` words are enough for a span whatever its
-sentences. Spans also run back from every part's end, so that a repeated run goes to its last part.
+A text is cut into sentences at stops and line ends, and long sentences further at places that
+their own words decide, so that passages which begin inside a sentence, texts without stops and
+other scripts meet too. From every sentence a span runs on until it holds ``PASSAGE`` words. Spans
+are hashed over their words and joined over all documents; the sentences under any span that is not
+its text's first (by doc_id and place) are removed.
+
+Sentences and words are found in numpy over the code points of many texts at once.
 """
 
 from __future__ import annotations
 
-import functools
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,122 +19,133 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize, tidy
 
-SENTENCES, WORDS = 3, 12
-SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
-
-PASSAGE, CUT = 24, 16  # words of a span of any number of sentences; one of so many word pairs ends a part
-STOP = ".!?\\n\\r\x85\u2028\u2029。．｡！？…‼⁇⁈⁉؟۔।॥።"
-CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"  # scripts without blanks: each letter is a word
-WHOLE_SENTENCE, UNSPACED = re.compile(f"[^{STOP}]+[{STOP}]*|[{STOP}]+"), re.compile(f"[{CJK}]")
-WORD = re.compile(rf"\s*(?:[{CJK}]|[^\s{CJK}]+)")
-
-
-def sentences(text: str) -> tuple[list[str], list[int], list[bytes], np.ndarray]:
-    """The text in parts that tile it; for the parts that hold words: their indices, words and running word counts."""
-    parts = SENTENCE.findall(text)
-    words = [p.encode("utf-8", "surrogatepass").lower().split() for p in parts]
-    at = [i for i, w in enumerate(words) if w]
-    return parts, at, [b" ".join(words[i]) for i in at], np.cumsum([0] + [len(words[i]) for i in at])
-
-
-def spans(total: np.ndarray, least: int = SENTENCES, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-last sentence of every span, given running word counts."""
-    n = len(total) - 1
-    i = np.arange(n)
-    j = np.maximum(i + least, np.searchsorted(total, total[:-1] + words))
-    ok = j <= n
-    return i[ok], j[ok]
-
-
-@functools.lru_cache(1 << 16)
-def _crc(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass").lower())
-
-
-def passages(text: str) -> tuple[list[str], list[int], list[bytes], np.ndarray, np.ndarray]:
-    """As ``sentences``, of the parts of ``whole``, and running counts of sentence ends."""
-    split = (lambda p: [w.strip() for w in WORD.findall(p)]) if UNSPACED.search(text) else str.split
-    found = WHOLE_SENTENCE.findall(text)
-    words = [split(p) for p in found]
-    size = np.array([len(w) for w in words], np.int64)
-    ends = np.cumsum(size)
-    crc = np.array([_crc(w) for ws in words for w in ws], np.uint64)
-    before = np.r_[np.uint64(0), crc][: len(crc)]
-    before[(ends - size)[size > 0]] = 0  # a sentence's cuts depend on its own words
-    pair = crc * np.uint64(0x9E3779B97F4A7C15) + before * np.uint64(0xC2B2AE3D27D4EB4F)
-    cuts = np.flatnonzero((pair >> np.uint64(40)) % np.uint64(CUT) == 0) + 1
-    of = np.searchsorted(ends, cuts)  # the sentence that holds the word before the cut
-    inner: dict[int, list[int]] = {}
-    for i, k in zip(of.tolist(), (cuts - (ends - size)[of]).tolist()):
-        if k < len(words[i]):
-            inner.setdefault(i, []).append(k)
-    parts, at, norm, total, stops = [], [], [], [0], [0]
-    for i, (p, ws) in enumerate(zip(found, words)):
-        if not ws:
-            parts.append(p)
-            continue
-        past = [m.end() for m in WORD.finditer(p)] if i in inner else ()
-        a = b = 0
-        for k in [*inner.get(i, ()), len(ws)]:
-            last = k == len(ws)
-            e = len(p) if last else past[k - 1]
-            at.append(len(parts))
-            parts.append(p[b:e])
-            norm.append(" ".join(ws[a:k]).encode("utf-8", "surrogatepass").lower())
-            total.append(total[-1] + k - a)
-            stops.append(stops[-1] + last)
-            a, b = k, e
-    return parts, at, norm, np.array(total), np.array(stops)
-
-
-def whole_spans(total: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-last part of the shortest spans from every part on and back from every part's end.
-
-    Any longer run that is a span is covered by the spans inside it. A last part counts as a
-    sentence and, for texts that go on after it, as none.
-    """
-    n, found = len(total) - 1, []
-    for s in (stops, np.r_[stops[:-1], stops[-2:-1]]) if n else ():
-        i = np.arange(n)
-        j = np.minimum(np.maximum(np.searchsorted(s, s[:-1] + SENTENCES), np.searchsorted(total, total[:-1] + WORDS)), np.searchsorted(total, total[:-1] + PASSAGE))
-        found += [i[j <= n] * (n + 1) + j[j <= n]]
-        back = lambda x, k: np.searchsorted(x, x[1:] - k, side="right") - 1
-        i, j = np.maximum(np.minimum(back(s, SENTENCES), back(total, WORDS)), back(total, PASSAGE)), i + 1
-        found += [i[i >= 0] * (n + 1) + j[i >= 0]]
-    both = np.unique(np.concatenate(found)) if n else np.empty(0, np.int64)
-    return both // (n + 1), both % (n + 1)
+PASSAGE = 32  # words that make a span
+CUT = 4  # a sentence ends early after one in so many of its words
+CHUNK = 1 << 20  # characters that are parsed at a time, but for longer texts
+#: Fixed values, as characters of a regular expression's class: what ends a sentence, white space, and letters of scripts without blanks, each of them a word.
+STOP = r".!?\n\r\x{85}\x{2028}\x{2029}\x{3002}\x{FF0E}\x{FF61}\x{FF01}\x{FF1F}\x{2026}\x{203C}\x{2047}-\x{2049}\x{61F}\x{6D4}\x{964}\x{965}"
+SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+UNSPACED = r"\x{E00}-\x{EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+U = np.uint64
+
+
+def members(chars: str) -> np.ndarray:
+    """Which code points a class of characters holds."""
+    one = r"\\x\{([0-9A-F]+)\}|\\([tnr])|(.)"
+    point = lambda m: int(m[1], 16) if m[1] else ord({"t": "\t", "n": "\n", "r": "\r"}[m[2]]) if m[2] else ord(m[3])
+    found, at = np.zeros(0x110000, bool), [(m.group(), point(m)) for m in re.finditer(one, chars)]
+    for k, (sign, p) in enumerate(at):
+        if sign == "-":
+            found[at[k - 1][1] : at[k + 1][1] + 1] = True
+        else:
+            found[p] = True
+    return found
+
 
+IS_STOP, IS_SPACE, IS_UNSPACED = map(members, (STOP, SPACE, UNSPACED))
 
-def _spans_of(text: str, whole: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    if whole:
-        _, _, norm, *counts = passages(text)
-        return norm, *whole_spans(*counts)
-    _, _, norm, total = sentences(text)
-    return norm, *spans(total)
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
-def _hash_spans(batches, whole: bool = False):
-    from xxhash import xxh3_128_digest
 
+def run_hashes(value: np.ndarray, first: np.ndarray, past: np.ndarray, base: int) -> np.ndarray:
+    """Hash of value[a:b], modulo 2^64 in powers of an odd base, for every pair of ``first`` and ``past``."""
+    n = len(value)
+    up = np.cumprod(np.r_[U(1), np.full(n, base, U)])
+    down = np.cumprod(np.r_[U(1), np.full(n, pow(base, -1, 2**64), U)])
+    sums = np.r_[U(0), np.cumsum(value * up[:n])]
+    return mix((sums[past] - sums[first]) * down[first] + (past - first).astype(U))
+
+
+class Parsed:
+    """The sentences with words of several texts, in order.
+
+    doc: index of the text; n: words; lo, hi: characters [lo, hi) of all texts in a row; word: the
+    first word of each sentence and, last, the number of words; words: hashes of the words.
+    """
+
+    def __init__(self, texts: list[str]):
+        x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.start = np.cumsum(size) - size  # of each text, in characters
+        n = len(x)
+        begins = np.zeros(n + 1, bool)
+        begins[self.start] = True
+        begins = begins[:n]
+        stop, space, single = IS_STOP[x], IS_SPACE[x], IS_UNSPACED[x]
+        before = lambda a: np.r_[False, a[:-1]] if n else a
+        sentence = begins | (before(stop) & ~stop)
+        starts = ~space & (sentence | before(space) | single | before(single))
+        ends = ~space & np.r_[space[1:] | starts[1:], True] if n else space
+        a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        low = np.where((x >= 65) & (x <= 90), x + 32, x).astype(np.uint32)
+        self.words = np.empty(len(a), U)
+        for k in range(0, len(a), 1 << 18):  # so that a long text needs few bytes a character
+            i, j = a[k : k + (1 << 18)], b[k : k + (1 << 18)]
+            self.words[k : k + (1 << 18)] = run_hashes(mix(low[i[0] : j[-1]].astype(U) + U(1)), i - i[0], j - i[0], 0x9E3779B97F4A7C15)
+        at = np.flatnonzero(sentence)
+        of = np.searchsorted(at, a, side="right") - 1  # sentence of each word
+        key = low[a].astype(np.int64) * 31 + (b - a) * 17
+        last = np.r_[of[1:] != of[:-1], True] if len(a) else np.empty(0, bool)
+        prior = np.where(before_word(last), 0, np.r_[0, key[:-1]][: len(a)])
+        cut = last | ((key + prior * 13) // 7 % CUT == 0)
+        e = np.flatnonzero(cut)
+        self.word = np.r_[0, e + 1]
+        self.n = np.diff(self.word)
+        past = np.r_[at[1:], n]  # of each sentence
+        self.hi = np.where(last[e], past[of[e]], b[e])
+        first = self.word[:-1]
+        self.lo = np.where(before_word(last)[first], at[of[first]], np.r_[0, self.hi[:-1]][: len(e)])
+        self.doc = np.searchsorted(self.start + size, a[first], side="right")
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-last sentence of every span."""
+        i = np.arange(len(self.n))
+        j = np.searchsorted(self.word, self.word[:-1] + PASSAGE)
+        ok = j < len(self.word)
+        i, j = i[ok], j[ok]
+        ok = self.doc[i] == self.doc[j - 1]
+        return i[ok], j[ok]
+
+
+def before_word(last: np.ndarray) -> np.ndarray:
+    """Of words: is the one before the last of its sentence? True for the first."""
+    return np.r_[True, last[:-1]] if len(last) else last
+
+
+def chunks(texts: list[str]):
+    """Slices of the texts of about ``CHUNK`` characters."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def hash_spans(batches):
+    """(h, g, doc_id, at, size) of every span: its 128-bit hash, first sentence and sentences."""
     for batch in batches:
-        for k in range(0, batch.num_rows, 1000):
-            part, h, doc, first, size = batch.slice(k, 1000), [], [], [], []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                norm, i, j = _spans_of(text.as_py() or "", whole)
-                h += [xxh3_128_digest(b"\n".join(norm[a:b])) for a, b in zip(i.tolist(), j.tolist())]
-                doc += [doc_id] * len(i)
-                first.append(i)
-                size.append(j - i)
-            if h:
-                both = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-                cols = [both[:, 0].copy(), both[:, 1].copy(), np.array(doc, np.int64), np.concatenate(first).astype(np.int32), np.concatenate(size).astype(np.int32)]
+        ids, texts = np.asarray(batch.column(0)), [t or "" for t in batch.column(1).to_pylist()]
+        for a, e in chunks(texts):
+            x = Parsed(texts[a:e])
+            i, j = x.spans()
+            if len(i):
+                h, g = (run_hashes(x.words, x.word[i], x.word[j], base).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+                at = i - np.searchsorted(x.doc, x.doc[i])
+                cols = [h, g, ids[a:e][x.doc[i]], at.astype(np.int32), (j - i).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["h", "g", "doc_id", "at", "size"])
 
 
-def repeated_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, size) of every span that is not the first of its text."""
     x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    x = materialize(x.mapInArrow(functools.partial(_hash_spans, whole=whole), "h long, g long, doc_id long, at int, size int"), "spans")
+    x = materialize(x.mapInArrow(hash_spans, "h long, g long, doc_id long, at int, size int"), "spans")
     many = materialize(x.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     y = materialize(x.join(many, "h"), "candidates")
     first = materialize(y.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
@@ -146,14 +153,15 @@ def repeated_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
 
 
 @tidy
-def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """The columns of ``docs`` with ``text`` cut, and _n_sentences, _n_removed, _n_cut_chars; with ``whole``, the parts of ``passages`` count as sentences.
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with ``text`` cut, and _n_sentences, _n_removed, _n_cut_chars.
 
-    A null text stays null; empty texts have no sentences. Equal rows with equal doc_id are one
-    document to the span join, so give unique ids; a null doc_id is neither compared nor cut. Extra columns pass through; names with the
-    prefix ``_`` are reserved. An empty table gives no rows.
+    A null text stays null; texts without words have no sentences and stay. Of texts under equal
+    (doc_id, place) in rows of one doc_id all are the first, so give unique ids; a null doc_id is
+    neither compared nor cut. Extra columns pass through, whatever their names, but for the prefix
+    ``_``, which is reserved. An empty table gives no rows.
     """
-    gone = repeated_spans(docs, whole).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans
+    gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans
     names = docs.columns
     gone = materialize(gone, "cuts", keep=True).withColumnRenamed("doc_id", "_doc_id")
     keep = [c for c in names if c != "text"]
@@ -163,51 +171,62 @@ def remove_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                texts, counts = [], []
-                for text, at, size in zip(part.column("text"), part.column("_at"), part.column("_size")):
-                    text = text.as_py()
-                    parts, index, *_ = (passages if whole else sentences)(text or "")
-                    mark = np.zeros(len(index) + 1, np.int64)
-                    if at.is_valid and len(at):
-                        a, s = np.array(at.as_py()), np.array(size.as_py())
-                        np.add.at(mark, a, 1)
-                        np.add.at(mark, a + s, -1)
-                    off = np.cumsum(mark)[:-1] > 0
-                    removed = {i for i, x in zip(index, off) if x}
-                    kept = "".join(p for i, p in enumerate(parts) if i not in removed) if removed else text
-                    texts.append(kept)
-                    counts.append((len(index), len(removed), len(text or "") - len(kept or "")))
-                cols = [part.column(c) for c in keep] + [pa.array(texts, pa.string())] + [pa.array(c, pa.int64()) for c in zip(*counts)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "text", "_n_sentences", "_n_removed", "_n_cut_chars"])
+            texts, at, size = batch.column("text").to_pylist(), batch.column("_at"), batch.column("_size")
+            counts = np.zeros((3, len(texts)), np.int64)
+            for a, e in chunks([t or "" for t in texts]):
+                x = Parsed([t or "" for t in texts[a:e]])
+                first = np.searchsorted(x.doc, np.arange(e - a + 1))
+                counts[0, a:e] = np.diff(first)
+                for d in np.flatnonzero(np.asarray(at.is_valid())[a:e]).tolist():
+                    mark, i = np.zeros(first[d + 1] - first[d] + 1, np.int64), np.asarray(at[a + d].values)
+                    np.add.at(mark, i, 1)
+                    np.add.at(mark, i + np.asarray(size[a + d].values), -1)
+                    off = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+                    lo, hi = (v[first[d] + off] - x.start[d] for v in (x.lo, x.hi))
+                    new = np.r_[True, lo[1:] != hi[:-1]]
+                    text, kept, past = texts[a + d], [], 0
+                    for p, q in zip(lo[new].tolist(), hi[np.r_[new[1:], True]].tolist()):
+                        kept.append(text[past:p])
+                        past = q
+                    texts[a + d] = "".join([*kept, text[past:]])
+                    counts[1:, a + d] = len(off), len(text) - len(texts[a + d])
+            cols = [batch.column(c) for c in keep] + [pa.array(texts, pa.string())] + [pa.array(c) for c in counts]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "text", "_n_sentences", "_n_removed", "_n_cut_chars"])
 
     return y.mapInArrow(cut, schema).select(*names, "_n_sentences", "_n_removed", "_n_cut_chars")
 
 
-def removal_report(docs: DataFrame, whole: bool = False) -> DataFrame:
+def removal_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_sentences, n_removed, n_cut_chars, kept_sha256 (null text: of the empty string), repeated (n_removed > 0)."""
-    x = remove_repeats(docs.select("doc_id", "text"), whole)
+    x = remove_repeats(docs.select("doc_id", "text"))
     return x.select("doc_id", F.col("_n_sentences").alias("n_sentences"), F.col("_n_removed").alias("n_removed"), F.col("_n_cut_chars").alias("n_cut_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.col("_n_removed") > 0).alias("repeated"))
 
 
-SQL = r"""
-WITH parts AS (
-  SELECT doc_id, i AS part, p[i] AS s,
-    list_filter(regexp_split_to_array(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda w: w <> '') AS ws
-  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p FROM documents), unnest(range(1, len(p) + 1)) AS t(i)),
-sent AS (
-  SELECT doc_id, part, array_to_string(ws, ' ') AS norm, row_number() OVER w - 1 AS pos, sum(len(ws)) OVER w AS total, sum(len(ws)) OVER w - len(ws) AS before
-  FROM parts WHERE len(ws) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY part)),
-ends AS (
-  SELECT a.doc_id, a.pos, min(b.pos) AS last FROM sent a JOIN sent b ON a.doc_id = b.doc_id AND b.pos >= a.pos + 2 AND b.total - a.before >= 12 GROUP BY a.doc_id, a.pos),
-runs AS (
-  SELECT e.doc_id, e.pos, e.last, string_agg(s.norm, chr(10) ORDER BY s.pos) AS run FROM ends e JOIN sent s ON s.doc_id = e.doc_id AND s.pos BETWEEN e.pos AND e.last GROUP BY ALL),
-later AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM runs) WHERE k > 1),
-gone AS (SELECT DISTINCT s.doc_id, s.part FROM later l JOIN sent s ON s.doc_id = l.doc_id AND s.pos BETWEEN l.pos AND l.last),
+SQL = rf"""
+WITH sentence AS (
+  SELECT doc_id, s, p[s] AS t, regexp_extract_all(p[s], '[{SPACE}]*(?:[{UNSPACED}]|[^{SPACE}{UNSPACED}]+)') AS ws
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{STOP}]+[{STOP}]*|[{STOP}]+') AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(s)),
+word AS (
+  SELECT *, unicode(w) * 31 + length(w) * 17 AS key FROM (
+    SELECT doc_id, s, j, j = len(ws) AS last, ws[j] || CASE WHEN j = len(ws) THEN substr(t, 1 + length(array_to_string(ws, ''))) ELSE '' END AS written,
+      translate(regexp_replace(ws[j], '^[{SPACE}]+', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+    FROM sentence, unnest(range(1, len(ws) + 1)) AS u(j))),
+cut AS (SELECT *, last OR (key + 13 * coalesce(lag(key) OVER (PARTITION BY doc_id, s ORDER BY j), 0)) // 7 % {CUT} = 0 AS cut FROM word),
+placed AS (
+  SELECT *, row_number() OVER d - 1 AS k, coalesce(sum(CAST(cut AS INT)) OVER (d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM cut WINDOW d AS (PARTITION BY doc_id ORDER BY s, j)),
+part AS (SELECT doc_id, part, min(k) AS first, max(k) + 1 AS past FROM placed GROUP BY doc_id, part),
+span AS (SELECT a.doc_id, a.part, a.first, b.part AS final, b.past - a.first AS n FROM part a ASOF JOIN part b ON a.doc_id = b.doc_id AND a.first + {PASSAGE} <= b.past),
+run AS (
+  SELECT doc_id, part, final, words FROM (
+    SELECT p.doc_id, s.part, s.final, string_agg(w, ' ') OVER (PARTITION BY p.doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND coalesce(s.n - 1, 0) FOLLOWING) AS words
+    FROM placed p LEFT JOIN span s ON p.doc_id = s.doc_id AND p.k = s.first) WHERE final IS NOT NULL),
+later AS (SELECT doc_id, part, final FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY doc_id, part) AS nth FROM run) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, x AS part FROM later, unnest(range(CAST(part AS BIGINT), CAST(final AS BIGINT) + 1)) AS u(x)),
+told AS (SELECT p.doc_id, p.s, p.j, p.written, p.part, p.cut, g.part IS NOT NULL AS off FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.part = g.part
+  UNION ALL SELECT doc_id, s, 0, t, NULL, false, false FROM sentence WHERE len(ws) = 0),
 kept AS (
-  SELECT p.doc_id, string_agg(p.s, '' ORDER BY p.part) FILTER (WHERE g.part IS NULL) AS text, count(g.part) AS n_removed, sum(CASE WHEN g.part IS NOT NULL THEN length(p.s) ELSE 0 END) AS cut, count(*) FILTER (WHERE len(p.ws) > 0) AS n
-  FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.part = g.part GROUP BY p.doc_id)
-SELECT d.doc_id, coalesce(k.n, 0) AS n_sentences, coalesce(k.n_removed, 0) AS n_removed, CAST(coalesce(k.cut, 0) AS BIGINT) AS n_cut_chars, sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(k.n_removed, 0) > 0 AS repeated
+  SELECT doc_id, string_agg(written, '' ORDER BY s, j) FILTER (WHERE NOT off) AS text, count(*) FILTER (WHERE cut) AS n, count(*) FILTER (WHERE cut AND off) AS n_removed, sum(CASE WHEN off THEN length(written) ELSE 0 END) AS cut_chars
+  FROM told GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(cut_chars, 0) AS BIGINT) AS n_cut_chars, sha256(coalesce(k.text, '')) AS kept_sha256, coalesce(n_removed, 0) > 0 AS repeated
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """

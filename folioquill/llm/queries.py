@@ -21,10 +21,6 @@ def op2_substring_query(spark, sf_dir):
     return op2_substring.removal_report(_read(spark, sf_dir, "documents"))
 
 
-def op2_passage_query(spark, sf_dir):
-    return op2_substring.removal_report(_read(spark, sf_dir, "documents"), whole=True)
-
-
 def op3_decontamination_query(spark, sf_dir):
     return op3_decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("hit_words")
 
@@ -62,7 +58,6 @@ def queries():
     return {
         "op1_suffix_array_dedup": op1_suffix_query,
         "op2_substring_dedup": op2_substring_query,
-        "op2_passage_dedup": op2_passage_query,
         "op3_benchmark_decontamination": op3_decontamination_query,
         "op4_embedding_near_dedup": op4_embedding_query,
         "op5_ngram_jaccard_join": op5_jaccard_query,

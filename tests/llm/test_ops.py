@@ -47,59 +47,95 @@ def test_empty_tables_and_edges(spark, run):
     assert set(ids) == {*range(18), None}
 
 
-def test_substring_dedup_brute(spark):
-    rng = random.Random(2)
-    shared = [". ".join(prose(rng, rng.randint(2, 8)) for _ in range(8)) + "." for _ in range(4)]
-    texts = [" ".join([prose(rng, 20) + "."] + rng.sample(shared, rng.randint(0, 2)) + [prose(rng, 9) + "!"]) for _ in range(30)] + [shared[0]]
-    got = {r["doc_id"]: r["kept_sha256"] for r in op2_substring.removal_report(table(spark, texts)).collect()}
-    first, parts = {}, []
-    for t in texts:
-        parts.append(re.findall(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", t))
-    for d, ps in enumerate(parts):
-        at = [i for i, p in enumerate(ps) if p.split()]
-        gone = set()
-        for k in range(len(at)):
-            for e in range(k + 3, len(at) + 1):
-                words = [ps[i].lower().split() for i in at[k:e]]
-                if sum(map(len, words)) >= 12:
-                    if first.setdefault(str(words), (d, k)) != (d, k):
-                        gone |= set(at[k:e])
+def brute_sentences(text):
+    """The sentences of a text as (words, where the written sentence starts, where it ends), by patterns."""
+    plain = lambda c: re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), c)
+    stop, space, single = map(plain, (op2_substring.STOP, op2_substring.SPACE, op2_substring.UNSPACED))
+    out = []
+    for m in re.finditer(f"[^{stop}]+[{stop}]*|[{stop}]+", text):
+        found = list(re.finditer(f"[{single}]|[^{space}{single}]+", m[0]))
+        held, at, before = [], m.start(), 0
+        for w in found:
+            low = re.sub("[A-Z]", lambda x: x[0].lower(), w[0])
+            key = ord(low[0]) * 31 + len(low) * 17
+            held.append(low)
+            last = w is found[-1]
+            if last or (key + 13 * before) // 7 % op2_substring.CUT == 0:
+                end = m.end() if last else m.start() + w.end()
+                out.append((held, at, end))
+                held, at = [], end
+            before = key
+    return out
+
+
+def brute_substring_dedup(rows):
+    """Rows (doc_id, text) -> {doc_id: kept text} by trying every sentence."""
+    first, out = set(), {}
+    for d, text in sorted(rows, key=lambda r: r[0]):
+        parts, gone = brute_sentences(text or ""), set()
+        for k in range(len(parts)):
+            words = []
+            for e in range(k, len(parts)):
+                words += parts[e][0]
+                if len(words) >= op2_substring.PASSAGE:
+                    if tuple(words) in first:
+                        gone |= set(range(k, e + 1))
+                    first.add(tuple(words))
                     break
-        assert got[d] == sha("".join(p for i, p in enumerate(ps) if i not in gone))
+        drop = {i for k in gone for i in range(parts[k][1], parts[k][2])}
+        out[d] = None if text is None else "".join(c for i, c in enumerate(text) if i not in drop)
+    return out
 
 
-def test_whole_passages_are_cut(spark):
+def passage_texts():
+    rng = random.Random(2)
+    shared = [". ".join(prose(rng, rng.randint(2, 30)) for _ in range(6)) + "." for _ in range(4)]
+    shared.append("".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(50)) + "。" + "".join(chr(rng.randint(0x3041, 0x3096)) for _ in range(40)))
+    texts = []
+    for _ in range(40):
+        mid = [x[rng.randint(0, 30) :] for x in rng.sample(shared, rng.randint(0, 2))]
+        texts.append(rng.choice([" ", "", "\n", "\u3000", "\u2028"]).join([prose(rng, 20) + ".", *mid, prose(rng, 9) + "!"]))
+    return texts + [shared[0], shared[0].upper(), "the. " * 100, "For " * 200, *EDGES]
+
+
+def test_substring_dedup_brute(spark):
+    texts = passage_texts()
+    want = brute_substring_dedup(enumerate(texts))
+    got = {r["doc_id"]: r for r in op2_substring.remove_repeats(table(spark, texts)).collect()}
+    assert {d: r["text"] for d, r in got.items()} == want
+    assert all(r["_n_sentences"] == len(brute_sentences(texts[d] or "")) and r["_n_cut_chars"] == len(texts[d] or "") - len(want[d] or "") for d, r in got.items())
+    assert sum(r["_n_removed"] > 0 for r in got.values()) > 20
+
+
+def test_very_long_texts_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(op2_substring, "CHUNK", 1000)
+    rng = random.Random(4)
+    long = prose(rng, 60_000)
+    texts = [long, "x. " + long[100_000:300_000], prose(rng, 300)]
+    got = {r["doc_id"]: r["text"] for r in op2_substring.remove_repeats(table(spark, texts)).collect()}
+    assert got == brute_substring_dedup(enumerate(texts)) and len(got[1]) < 200
+    twice = table(spark, texts[2:]).unionByName(table(spark, texts[2:]))
+    assert [r["_n_removed"] for r in op2_substring.remove_repeats(twice).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("kind", ["two sentences", "one sentence", "short sentences", "no stops", "inside a sentence", "other script"])
+def test_passages_of_over_50_words_are_cut(spark, kind):
     rng = random.Random(5)
     words = lambda n: prose(rng, n, "abcdefghijklmnop")
-    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
-    cases = [
-        words(40) + ". " + words(40) + ". ",  # two sentences
-        words(60) + ". ",  # one
-        " ".join(words(n) + "." for n in (10, 1, 1, 1)) + " ",  # the shortest span ends before the last sentence
-        han(20) + "。" + han(20) + "。" + han(20) + "！",
-    ]
-    texts = [f"{words(9)}. {c}{words(9)}." for c in cases for _ in range(2)]
-    bare = words(300)  # no stop at all
-    texts += [f"{words(150)} {bare} {words(150)}" for _ in range(2)]
-    got = {r["doc_id"]: r["text"] for r in op2_substring.remove_repeats(table(spark, texts), whole=True).collect()}
-    for k, c in enumerate(cases):
-        assert got[2 * k] == texts[2 * k]
-        assert "".join(got[2 * k + 1].split()) == "".join(texts[2 * k + 1].replace(c, "").split())
-    assert got[8] == texts[8] and len(texts[9]) - len(got[9]) > 0.75 * len(bare)
-
-
-def test_whole_spans_cover_every_repeated_run():
-    rng = random.Random(6)
-    for _ in range(200):
-        text = "".join(prose(rng, rng.randint(1, 9)) + rng.choice([". ", " ", "! ", "\n", "。", "؟ "]) for _ in range(rng.randint(0, 12)))
-        parts, at, norm, total, stops = op2_substring.passages(text)
-        assert "".join(parts) == text
-        pairs = set(zip(*(x.tolist() for x in op2_substring.whole_spans(total, stops))))
-        for a in range(len(at)):
-            for e in range(a + 1, len(at) + 1):
-                n, w = stops[e] - stops[a], total[e] - total[a]
-                if n >= 3 and w >= 12 or w >= 24:
-                    assert {k for i, j in pairs if a <= i and j <= e for k in range(i, j)} == set(range(a, e))
+    passage = {
+        "two sentences": lambda: words(26) + ". " + words(26) + ".", "one sentence": lambda: words(52) + ".", "short sentences": lambda: " ".join(words(3) + "." for _ in range(18)),
+        "no stops": lambda: words(52), "inside a sentence": lambda: words(8) + ". " + words(12) + ". " + words(32), "other script": lambda: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(52)),
+    }[kind]
+    cut = 0
+    for _ in range(6):
+        p = passage()
+        texts = [f"{words(9)} {p} {words(9)}", f"{words(40)}. {words(11)} {p} {words(7)}. {words(30)}"]
+        got = {r["doc_id"]: r["text"] for r in op2_substring.remove_repeats(table(spark, texts)).collect()}
+        assert got[0] == texts[0]
+        head, tail = texts[1].split(p)
+        assert got[1].startswith(head[:-1]) and got[1].endswith(tail[1:])
+        cut += 1 - (len(got[1]) - len(head + tail)) / len(p)
+    assert cut / 6 > 0.7
 
 
 def test_decontamination_brute(spark, monkeypatch):
@@ -315,7 +351,8 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids["language_id"] == set(range(27)) - {22, 23}
     assert ids["jaccard_join"] == ids["language_id"] - {20, 21}
     kept = {r["doc_id"]: r["text"] for r in seen["substring_dedup"]}
-    assert shared in kept[25] and "." not in kept[26].replace(texts[4], "").strip().rstrip(".") and all(r["n_chars"] == len(r["text"]) for r in seen["substring_dedup"])
+    assert kept == {d: t for d, t in brute_substring_dedup((r["doc_id"], r["text"]) for r in seen["jaccard_join"]).items() if t.strip()}
+    assert shared in kept[25] and len(kept.get(26, "")) < 0.2 * len(texts[26]) and all(r["n_chars"] == len(r["text"]) for r in seen["substring_dedup"])
     assert ids["decontamination"] == set(kept) - {24}
     assert ids["packing"] == ids["decontamination"]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == ids["packing"]
