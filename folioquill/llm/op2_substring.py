@@ -21,6 +21,7 @@ from .common import materialize, tidy
 
 PASSAGE = 32  # words that make a span
 CUT = 4  # a sentence ends early after one in so many of its words
+FLUSH = 1_000_000  # spans that a task compares before it sends them on
 CHUNK = 1 << 20  # characters that are parsed at a time, but for longer texts
 #: Fixed values, as characters of a regular expression's class: what ends a sentence, white space, and letters of scripts without blanks, each of them a word.
 STOP = r".!?\n\r\x{85}\x{2028}\x{2029}\x{3002}\x{FF0E}\x{FF61}\x{FF01}\x{FF1F}\x{2026}\x{203C}\x{2047}-\x{2049}\x{61F}\x{6D4}\x{964}\x{965}"
@@ -128,8 +129,28 @@ def chunks(texts: list[str]):
         at = end
 
 
+def first_of(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each row, the first row of its run of equal (h, g)."""
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+    return np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+
+
 def hash_spans(batches):
-    """(h, g, doc_id, at, size) of every span: its 128-bit hash, first sentence and sentences."""
+    """(h, g, doc_id, place) of every span: its 128-bit hash and, in ``place``, first sentence, sentences and whether it is ``later``.
+
+    A span that stands earlier among those that the task holds is later for certain: such rows need
+    not meet the others, so of a hot span one row of a task does.
+    """
+    held, size = [], 0
+
+    def flush():
+        h, g, doc, place = map(np.concatenate, zip(*held))
+        order = np.lexsort((place, doc, g, h))
+        h, g, doc, place = (c[order] for c in (h, g, doc, place))
+        of = first_of(h, g)
+        later = (doc != doc[of]) | (place != place[of])
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, (h, g, doc, place | later))), names=["h", "g", "doc_id", "place"])
+
     for batch in batches:
         ids, texts = np.asarray(batch.column(0)), [t or "" for t in batch.column(1).to_pylist()]
         for a, e in chunks(texts):
@@ -138,18 +159,36 @@ def hash_spans(batches):
             if len(i):
                 h, g = (run_hashes(x.words, x.word[i], x.word[j], base).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
                 at = i - np.searchsorted(x.doc, x.doc[i])
-                cols = [h, g, ids[a:e][x.doc[i]], at.astype(np.int32), (j - i).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["h", "g", "doc_id", "at", "size"])
+                held.append((h, g, ids[a:e][x.doc[i]], (at << 8) | ((j - i) << 1)))
+                size += len(i)
+            if size > FLUSH:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def later_spans(batches):
+    """(doc_id, at, size) of the spans that are not the first of their hash, from rows sorted by hash, document and place."""
+    last = None  # the first row of the hash that the batch before ended with
+    for batch in batches:
+        h, g, doc, place = map(np.asarray, batch.columns)
+        out = place & 1 == 1
+        k = np.flatnonzero(~out)
+        if len(k):
+            x = [np.r_[np.array([v] if last else [], np.int64), c[k]] for c, v in zip((h, g, doc, place), last or [None] * 4)]
+            of = first_of(*x[:2])
+            out[k] = ((x[2] != x[2][of]) | (x[3] != x[3][of]))[len(of) - len(k) :]
+            last = [c[of[-1]] for c in x]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(place[out] >> 8), pa.array(place[out] >> 1 & 127)], names=["doc_id", "at", "size"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, size) of every span that is not the first of its text."""
     x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    x = materialize(x.mapInArrow(hash_spans, "h long, g long, doc_id long, at int, size int"), "spans")
-    many = materialize(x.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    y = materialize(x.join(many, "h"), "candidates")
-    first = materialize(y.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    return y.join(first, ["h", "g"]).where(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at", "size")
+    x = x.mapInArrow(hash_spans, "h long, g long, doc_id long, place long")
+    x = x.repartition(F.when(F.col("place") % 2 == 0, F.col("h")).otherwise(F.xxhash64("doc_id", "place")))
+    return x.sortWithinPartitions("h", "g", "doc_id", "place").mapInArrow(later_spans, "doc_id long, at long, size long")
 
 
 @tidy

@@ -98,7 +98,9 @@ def passage_texts():
     return texts + [shared[0], shared[0].upper(), "the. " * 100, "For " * 200, *EDGES]
 
 
-def test_substring_dedup_brute(spark):
+@pytest.mark.parametrize("flush", [1_000_000, 50])
+def test_substring_dedup_brute(spark, monkeypatch, flush):
+    monkeypatch.setattr(op2_substring, "FLUSH", flush)
     texts = passage_texts()
     want = brute_substring_dedup(enumerate(texts))
     got = {r["doc_id"]: r for r in op2_substring.remove_repeats(table(spark, texts)).collect()}
