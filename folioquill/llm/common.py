@@ -76,6 +76,21 @@ def gapless_rank(df: DataFrame, keys: list[str], order: str, n_rows: int, out: s
     return y.join(starts, [*keys, "_bucket"]).withColumn(out, F.col("_start") + F.col("_row") - 1).drop("_bucket", "_row", "_start")
 
 
+HOT = 2000
+
+
+def split_join(df: DataFrame, counted: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """``df`` inner-joined on ``keys`` with ``counted`` (one row a key, column ``k``: its rows in ``df``), hot keys apart.
+
+    Keys with more than one in HOT of the ``n_rows`` rows of ``df`` are fewer than HOT by count, so they are broadcast and
+    their rows stay where they are; the rest is shuffled, and no key of it has more rows than that.
+    """
+    least = n_rows // HOT
+    hot = F.broadcast(materialize(counted.where(F.col("k") > least), "hot"))
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col("k") <= least), keys)
+    return df.join(hot, keys).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table as (node, component), component = smallest node.
 

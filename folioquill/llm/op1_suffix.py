@@ -6,7 +6,7 @@ so content decides the shards. Every 400-byte window owns to the smallest 64-byt
 windows with one anchor. Anchors that occur once end there; pieces that are equal as a whole are
 settled by their digests; one copy of each piece that is left goes to the shard of its anchor.
 A shard's suffixes are sorted by Larsson-Sadakane refinement, their common prefixes found by
-Kasai's rule, and windows that share 400 bytes are repeated. An anchor with very many different
+Kasai's rule, and windows that share 400 bytes are repeated. An anchor with very many bytes of different
 pieces is split over several shards, whose sorted windows are merged by binary search.
 """
 
@@ -18,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, tidy
+from .common import materialize, split_join, tidy
 
 LENGTH, GRAM = 400, 64
 CHUNK_BITS = 20
-SHARD_BYTES = 1_500_000  # suffixes are numbered with 21 bits
-SHARD_PIECES = 2_000  # of one anchor; more are dealt over several shards
+SHARD_BYTES = 1_500_000  # suffixes are numbered with 21 bits, so 2^21 bytes are the most
+GROUP_BYTES = SHARD_BYTES // 2  # of pieces of one anchor; more are dealt over several shards
 U = np.uint64
 
 _rng = np.random.default_rng(400)
@@ -248,7 +248,8 @@ def shard_marks(length: int):
             cols = [batch.column(k) for k in ("h", "salt", "doc_id", "lo", "n", "single", "shards", "bytes")]
             for h, salt, doc, lo, n, single, shards, b in zip(*(c.to_pylist() for c in cols[:-1]), cols[-1]):
                 b = _bytes(b)
-                if (h, salt) != last and size + len(b) > SHARD_BYTES // 2 and held:
+                # a group of one shard fits into the second half; those of several are merged, so they may be cut anywhere
+                if held and ((h, salt) != last and size > SHARD_BYTES - GROUP_BYTES or shards > 1 and size + len(b) > SHARD_BYTES):
                     yield from close(held)
                     held, size = [], 0
                 last = (h, salt)
@@ -275,17 +276,17 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     mark = "doc_id long, lo long, n int"
     all_pieces = materialize(text.mapInArrow(anchors(length, gram), "h long, digest long, doc_id long, lo long, n int, off int"), "pieces")
     often = all_pieces.groupBy("h").agg(F.count("*").alias("k"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("k > 1")
-    often = materialize(often.select("h", (F.col("d0") == F.col("d1")).alias("same")), "anchors")
-    found = materialize(all_pieces.join(often, "h"), "found")
+    often = materialize(often.select("h", "k", (F.col("d0") == F.col("d1")).alias("same")), "anchors")
+    found = materialize(split_join(all_pieces, often, ["h"], all_pieces.count()).drop("k"), "found")
     whole = found.where("same").select("doc_id", "lo", "n")
     mixed = found.where("not same")
     kinds = mixed.groupBy("h", "digest").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "lo", "n")).alias("one"))
     kinds = materialize(kinds, "kinds")
-    copies = mixed.join(kinds.where("k > 1").select("h", "digest"), ["h", "digest"]).select("doc_id", "lo", "n")
-    crowd = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_PIECES), "crowds")
-    kinds = kinds.join(crowd, "h", "left").select(
-        "h", F.coalesce(F.pmod("digest", F.ceil(F.col("kinds") / SHARD_PIECES)), F.lit(0)).cast("long").alias("salt"), "one.doc_id", "one.lo", "one.n", (F.col("k") == 1).alias("single"),
-        F.coalesce(F.ceil(F.col("kinds") / SHARD_PIECES), F.lit(1)).cast("long").alias("shards"))
+    copies = split_join(mixed, kinds.where("k > 1").select("h", "digest", "k"), ["h", "digest"], found.count()).select("doc_id", "lo", "n")
+    crowd = kinds.groupBy("h").agg(F.sum(F.col("one.n") + (length - 1)).alias("bytes")).where(F.col("bytes") > GROUP_BYTES)
+    crowd = materialize(crowd.select("h", F.ceil(F.col("bytes") / GROUP_BYTES).cast("long").alias("shards")), "crowds")
+    kinds = kinds.join(crowd, "h", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
+    kinds = kinds.select("h", F.pmod("digest", "shards").alias("salt"), "one.doc_id", "one.lo", "one.n", (F.col("k") == 1).alias("single"), "shards")
     wanted = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("h", "salt", "lo", "n", "single", "shards")).alias("p"))  # at most a document's own pieces
     wanted = materialize(wanted, "wanted")
 
@@ -311,7 +312,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 @tidy
 def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes).
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes), repeated (n_removed > 0).
 
     Null text counts as empty; texts shorter than ``length`` bytes keep all. Every copy loses its
     repeated bytes, so an exact copy of enough bytes keeps none. Rows of one doc_id are one document
@@ -344,4 +345,4 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return text.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    return text.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>").withColumn("repeated", F.col("n_removed") > 0)

@@ -2,9 +2,11 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
-from folioquill.llm import op1_suffix
+from folioquill.llm import common, op1_suffix
 from folioquill.llm.op1_suffix import common_prefixes, remove_repeated, repeated, suffix_array
 
 SCHEMA = "doc_id long, text string, spans string"
@@ -45,9 +47,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "crowd"), [(1, 2000), (2, 2)])
-def test_matches_brute_force(spark, monkeypatch, seed, crowd):
-    monkeypatch.setattr(op1_suffix, "SHARD_PIECES", crowd)
+@pytest.mark.parametrize(("seed", "shard", "hot"), [(1, 1_500_000, 2000), (2, 3000, 5), (3, 10_000, 2)])
+def test_matches_brute_force(spark, monkeypatch, seed, shard, hot):
+    monkeypatch.setattr(op1_suffix, "SHARD_BYTES", shard)
+    monkeypatch.setattr(op1_suffix, "GROUP_BYTES", shard // 2)
+    monkeypatch.setattr(common, "HOT", hot)
     rows = corpus(seed)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeated(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows, 400)
@@ -87,3 +91,45 @@ def test_pieces_that_share_more_than_the_length(seed):
     got = repeated(np.frombuffer(text, np.uint8), starts, 400)
     many = Counter(text[k : k + 400] for k in starts.tolist())
     assert (np.bincount(got)[got] > 1).tolist() == [many[text[k : k + 400]] > 1 for k in starts.tolist()]
+
+
+def test_shards_stay_below_the_suffix_limit():
+    rng = np.random.default_rng(9)
+
+    def rows(h, salt, count, shards):
+        return [(h, salt, h * 10_000 + k, 0, 337, True, shards, rng.bytes(736)) for k in range(count)]
+
+    both = rows(1, 0, 1010, 1) + rows(2, 0, 1019, 3) + rows(2, 1, 3000, 3) + rows(3, 0, 1000, 1)
+    names = ["h", "salt", "doc_id", "lo", "n", "single", "shards", "bytes"]
+    batches = [pa.table(dict(zip(names, map(list, zip(*both[k : k + 700]))))).to_batches()[0] for k in range(0, len(both), 700)]
+    out = [b for b in op1_suffix.shard_marks(400)(iter(batches))]
+    assert sum(len(d) for b in out for d in b.column(5).to_pylist() if d) == 337 * 4019 and all(b.column(0).null_count for b in out)
+
+
+def test_whole_table_matches_window_hashes(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(path).collect()]
+    digests = [[xxhash.xxh3_128_intdigest(b[k : k + 400]) for k in range(len(b) - 399)] for _, b in rows]
+    seen = Counter(d for ds in digests for d in ds)
+    got = {r["doc_id"]: r for r in remove_repeated(spark.read.parquet(path)).collect()}
+    for (i, b), ds in zip(rows, digests):
+        mark = np.zeros(len(b) + 1, np.int64)
+        for k, d in enumerate(ds):
+            if seen[d] > 1:
+                mark[k] += 1
+                mark[k + 400] -= 1
+        gone = np.cumsum(mark)[:-1] > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"], got[i]["repeated"]) == (len(b), int(gone.sum()), hashlib.sha256(kept).hexdigest(), bool(gone.any()))
+
+
+def test_null_and_repeated_ids_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(op1_suffix, "CHUNK_BITS", 12)
+    rng = np.random.default_rng(11)
+    long = "".join(rng.choice(list("abcdefgh "), 30_000))
+    rows = [(1, long, "x"), (2, long[10_000:15_000] + "z" * 500, "x"), (3, "q" * 2500, "x")]
+    df = spark.createDataFrame(rows + [(None, long, "x")], SCHEMA)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeated(df).collect()}
+    assert got.pop(None)[1] == 0 and got == brute(rows, 400)
+    twice = remove_repeated(spark.createDataFrame([(7, long[:900], "x"), (7, long[:900], "y")], SCHEMA)).collect()
+    assert [(r["doc_id"], r["n_removed"]) for r in twice] == [(7, 900)] * 2
