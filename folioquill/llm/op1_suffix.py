@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize, split_join, tidy
 
 LENGTH, GRAM = 400, 64
-CHUNK_BITS = 20
+CHUNK_BITS = 19
 SHARD_BYTES = 1_500_000  # suffixes are numbered with 21 bits, so 2^21 bytes are the most
 GROUP_BYTES = SHARD_BYTES // 2  # of pieces of one anchor; more are dealt over several shards
 U = np.uint64
