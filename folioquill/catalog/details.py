@@ -141,15 +141,9 @@ def section_carry(t):
     return fidelity.sections(numbered_docs(t)).select("key", LONG(F.col("pos")).alias("pos"), "section")
 
 
-@query("queue_order", f"WITH {QUEUE} SELECT kind, page, added, row_number() OVER (ORDER BY added, kind, page) AS place FROM q WHERE NOT done ORDER BY added, kind, page LIMIT 50")
+@query("queue_order", f"WITH {QUEUE} SELECT done, row_number() OVER (PARTITION BY done ORDER BY CASE WHEN done THEN coalesce(done_date, '') END DESC, CASE WHEN done THEN added END DESC, added, kind, page, detail) AS place, kind, page, detail, added, done_date FROM q")
 def queue_order(t):
-    x = planning.queue_state(queue_events(t)).where("not done").orderBy("added", "kind", "page").limit(50)
-    return planning.numbered(x.select("kind", "page", "added"), F.col("added"), F.col("kind"), F.col("page"), start=1, out="place")
-
-
-@query("queue_listing", f"WITH {QUEUE} SELECT done, row_number() OVER (PARTITION BY done ORDER BY CASE WHEN done THEN coalesce(done_date, '') END DESC, CASE WHEN done THEN added END DESC, added, kind, page, detail) AS place, kind, page, detail, added, done_date FROM q")
-def queue_listing(t):
-    """The whole queue in its order; queue_order is the first 50 open entries of it."""
+    """The whole queue in its order, open entries and done ones."""
     return planning.queue_listing(planning.queue_state(queue_events(t)))
 
 

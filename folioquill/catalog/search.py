@@ -148,8 +148,8 @@ def keyword_baseline(t):
 
 def judged(t):
     """Items and the documents that hold their text; by the parity of the item as two categories."""
-    found = t.documents.join(F.broadcast(t.benchmark.select("item_id", F.col("text").alias("passage"))), F.contains("text", "passage"))
-    found = found.groupBy("item_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("correct"))
+    found = retrieval.passages_in(t.documents.select(F.col("doc_id").alias("key"), "text"), t.benchmark.select(F.col("item_id").alias("passage_key"), F.col("text").alias("passage")))
+    found = found.groupBy(F.col("passage_key").alias("item_id")).agg(F.collect_set(F.col("key").cast("string")).alias("correct"))
     x = t.benchmark.select("item_id").join(found, "item_id", "left")
     none = F.array().cast("array<string>")
     return x.select(F.col("item_id").alias("query_id"), F.when(F.col("correct").isNull(), "negative").when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.coalesce("correct", none).alias("correct"), none.alias("relevant"))

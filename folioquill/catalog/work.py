@@ -92,7 +92,7 @@ def address_alloc(t):
     return x.select("c_custkey", planning.address(F.col("n")).alias("address"))
 
 
-@query("id_mint")
+@query("id_mint", "SELECT c_custkey, '20240101' || lpad(CAST(n // 3600000000 AS VARCHAR), 2, '0') || lpad(CAST(n // 60000000 % 60 AS VARCHAR), 2, '0') || lpad(CAST(n // 1000000 % 60 AS VARCHAR), 2, '0') || lpad(CAST(n % 1000000 AS VARCHAR), 6, '0') AS id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer)")
 def id_mint(t):
     x = planning.numbered(t.customer.select("c_custkey"), F.col("c_custkey"))
     return x.select("c_custkey", F.date_format(F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("n")), "yyyyMMddHHmmssSSSSSS").alias("id"))

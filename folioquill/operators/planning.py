@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import text as T
+from ..storage import materialize
 
 LARGE = 2_000_000
 DEPTHS = ("full", "summary", "catalogue", "skip")
@@ -92,31 +93,17 @@ def save_folder(kind: Column) -> Column:
 
 
 def numbered(df: DataFrame, *order: Column, start: int = 0, out: str = "n") -> DataFrame:
-    """Consecutive numbers in a total order, without gathering the rows in one task.
+    """Consecutive numbers in a total order of columns by name, without gathering the rows in one task.
 
-    Rows are range-dealt; a first pass counts each partition, a second adds the running counts.
+    Rows are range-dealt and written with their partition once, so that counts and numbers are of the same
+    partitions: each partition's running count, a row for each, is joined to its rows' own numbers. Rows
+    that are equal in ``order`` are numbered in any order; an empty table gives no rows.
     """
-    import pyarrow as pa
-
-    x = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    counted = {r["p"]: r["c"] for r in x.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()}  # one row per partition
-    base, at = {}, start
-    for p in sorted(counted):
-        base[p], at = at, at + counted[p]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` long"
-
-    def number(batches):
-        at = None
-        for b in batches:
-            if at is None and b.num_rows:
-                at = b.column(b.num_columns - 1)[0].as_py()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(range(at or 0, (at or 0) + b.num_rows), pa.int64())], names=[*b.schema.names[:-1], out])
-            at = (at or 0) + b.num_rows
-
-    first = F.lit(start).cast("long")
-    for p, v in base.items():
-        first = F.when(F.spark_partition_id() == p, F.lit(v).cast("long")).otherwise(first)
-    return x.withColumn(out, first).mapInArrow(number, schema)
+    x = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered", keep=True)
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    base = x.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
+    y = x.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order))).join(F.broadcast(base), "_part")
+    return y.select(*df.columns, (F.col("_base") + F.col("_row") + (start - 1)).cast("long").alias(out))
 
 
 def max_address(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -139,11 +126,16 @@ def queue_state(events: DataFrame) -> DataFrame:
 
     Adding an open item again renews its detail and keeps its date; done without a kind closes all of a page's items.
     """
-    add = events.where("op = 'add'").select("kind", "page", "seq", "detail", "date")
-    done = events.where("op = 'done'").select(F.col("page").alias("_page"), F.col("kind").alias("_kind"), F.col("seq").alias("_seq"), F.col("date").alias("_date"))
-    closes = (F.col("page") == F.col("_page")) & (F.col("_kind").isNull() | (F.col("kind") == F.col("_kind"))) & (F.col("_seq") > F.col("seq"))
-    x = add.join(done, closes, "left").groupBy("kind", "page", "seq", "detail", "date").agg(F.min(F.struct("_seq", "_date")).alias("end"))
-    x = x.withColumn("end_seq", F.col("end._seq"))
+    add = events.where("op = 'add'").select("kind", "page", "seq", "detail", "date", F.lit(None).cast(events.schema["seq"].dataType).alias("end_seq"))
+    done = events.where("op = 'done'").select("page", "kind", F.col("seq").alias("end_seq"), "date")
+    kinds = add.select("page", F.col("kind").alias("_kind")).distinct()
+    every = done.where("kind is null").join(kinds, "page").select(F.col("_kind").alias("kind"), "page", "end_seq", "date")
+    done = done.where("kind is not null").select("kind", "page", "end_seq", "date").unionByName(every)
+    x = add.unionByName(done.select("kind", "page", F.col("end_seq").alias("seq"), F.lit(None).cast("string").alias("detail"), "date", "end_seq"))
+    # the next done event of the kind and page, read from the last event back
+    after = W.partitionBy("kind", "page").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    end = F.when(F.col("end_seq").isNotNull(), F.struct("end_seq", F.col("date").alias("_date")))
+    x = x.withColumn("end", F.last(end, ignorenulls=True).over(after)).where("end_seq is null").withColumn("end_seq", F.col("end.end_seq"))
     # adds that end with the same event, or never, are one item
     return x.groupBy("kind", "page", "end_seq").agg(F.max_by("detail", "seq").alias("detail"), F.min_by("date", "seq").alias("added"), F.min("end._date").alias("done_date")).select(
         "kind", "page", "detail", "added", F.col("end_seq").isNotNull().alias("done"), "done_date")

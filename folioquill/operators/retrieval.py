@@ -102,25 +102,69 @@ def with_tier_bonus(ranked: DataFrame, score: str, normalize: bool, tier: str =
     return x.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("final_score"), "rank")))
 
 
+#: What may stand in a token, also after lower-casing; a token lies inside one run of these.
+RUN_BREAK = r"[^\p{L}\p{N}\p{M}_'\-]+"
+
+
+def term_matches(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(run, term, n): how often each term stands in each run, first come first counted.
+
+    Both are distinct. Every substring of a run that is as long as some term is looked up, so the work
+    grows with the vocabulary and not with vocabulary times terms.
+    """
+    sizes = F.sequence(F.lit(1), F.length("run"))
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.length("run") - k + 1), lambda i: F.substring(F.col("run"), i, k))
+    known = terms.agg(F.collect_set(F.length("term")).alias("known"))  # one row: the lengths that occur
+    x = runs.crossJoin(F.broadcast(known)).select("run", F.explode(F.array_distinct(F.flatten(F.transform(F.array_intersect(sizes, "known"), cut)))).alias("term"))
+    n = (F.length("run") - F.length(F.replace("run", "term"))) / F.length("term")
+    return x.join(terms, "term").select("run", "term", n.cast("long").alias("n"))
+
+
 def keyword_baseline(pages: DataFrame, queries: DataFrame, k: int = TOP, hot: str = "", index: str = "") -> DataFrame:
     """Distinct query terms found as substrings, plus a hundredth per occurrence, plus boosts for cited pages.
 
-    pages: (page, body); queries: (query_id, text). A substring test needs every term against every body, so
-    the distinct terms of all queries are broadcast (they are checked to be few) and each body is read once.
+    pages: (page, body); queries: (query_id, text). A term is one run of word characters, so it can only
+    stand inside a body's runs: terms are matched with the distinct runs, and counts follow from each body's
+    runs by equality joins.
     """
     terms = query_terms(queries).select("query_id", "term")
-    if terms.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} query terms; score the queries in parts")
-    body = F.lower(F.col("body"))
-    low = pages.select("page", body.alias("low"))
-    n = ((F.length("low") - F.length(F.replace("low", "term"))) / F.length("term")).cast("long")
-    found = low.join(F.broadcast(terms.select("term").distinct()), F.contains("low", "term")).select("page", "term", n.alias("n"))
+    runs = pages.select("page", F.explode(F.split(F.lower("body"), RUN_BREAK)).alias("run")).where("run <> ''").groupBy("page", "run").agg(F.count("*").alias("times"))
+    matches = term_matches(runs.select("run").distinct(), terms.select("term").distinct())
+    found = runs.join(matches, "run").groupBy("page", "term").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
     cited = lambda text: F.instr(F.lit(text), F.col("page")) > 0
-    x = found.join(F.broadcast(terms), "term").groupBy("query_id", "page").agg(F.count("*").alias("distinct_terms"), F.sum("n").alias("total_occurrences"))
+    x = found.join(terms, "term").groupBy("query_id", "page").agg(F.count("*").alias("distinct_terms"), F.sum("n").alias("total_occurrences"))
     score = F.col("distinct_terms") + 0.01 * F.col("total_occurrences") + F.when(cited(hot), 5.0).otherwise(0.0) + F.when(cited(index), 3.0).otherwise(0.0)
     return top_k(x.withColumn("score", F.round(score, 4)), k, F.desc("score"), F.asc("page"))
 
 
+GRAM = 4
+
+
+def passages_in(texts: DataFrame, passages: DataFrame) -> DataFrame:
+    """(key, passage_key) of every text (key, text) that contains a passage (passage_key, passage) as it stands.
+
+    The inner words of a passage are whole words of any text that holds it, so runs of up to four of them
+    are joined by hash and the pairs that meet are verified. Passages without an inner word are joined by
+    every substring of their length. Null or empty passages are in no text.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    p = passages.select("passage_key", "passage").where("passage <> ''").withColumn("w", words("passage")).withColumn("g", F.least(F.size("w") - 2, F.lit(GRAM)))
+    hashed = lambda w, i, g: F.xxhash64(F.array_join(F.slice(w, i, g), " "))
+    keyed = p.select("passage_key", "passage", F.when(F.col("g") > 0, F.col("g")).otherwise(-F.length("passage")).alias("g"), F.when(F.col("g") > 0, hashed("w", F.lit(2), F.col("g"))).otherwise(F.xxhash64("passage")).alias("h"))
+    known = keyed.agg(F.collect_set("g").alias("known"))  # one row: the sizes that occur
+    none = F.array().cast("array<bigint>")
+    x = texts.select("key", "text", words("text").alias("w")).crossJoin(F.broadcast(known))
+
+    def probe(g):
+        by_word = F.when(F.size("w") >= g, F.transform(F.sequence(F.lit(1), F.size("w") - g + 1), lambda i: hashed("w", i, g)))
+        by_char = F.when(F.length("text") >= -g, F.transform(F.sequence(F.lit(1), F.length("text") + g + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i, -g))))
+        return F.transform(F.array_distinct(F.coalesce(F.when(g > 0, by_word).otherwise(by_char), none)), lambda h: F.struct(g.alias("g"), h.alias("h")))
+
+    met = x.select("key", F.explode(F.flatten(F.transform("known", probe))).alias("p")).select("key", "p.g", "p.h").join(keyed.select("passage_key", "g", "h"), ["g", "h"]).select("key", "passage_key").distinct()
+    met = met.join(texts.select("key", "text"), "key").join(p.select("passage_key", "passage"), "passage_key")
+    return met.where(F.contains("text", "passage")).select("key", "passage_key").distinct()
+
+
 def evaluate(results: DataFrame, judged: DataFrame) -> DataFrame:
     """(query_id, category, top1, top5) of ranked pages against judged (query_id, category, correct, relevant).
 

@@ -241,6 +241,57 @@ def test_numbered_is_gapless(spark):
     assert [r["n"] for r in got] == list(range(5, 1005))
 
 
+def test_numbered_with_wide_rows_and_many_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        df = spark.range(60_000).select("id", F.xxhash64("id").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("wide"))
+        got = planning.numbered(df, F.col("k").desc(), start=1).select("id", "k", "n").orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r["n"] for r in got] == list(range(1, 60_001))
+    assert all(a["k"] > b["k"] for a, b in zip(got, got[1:]))
+    assert planning.numbered(df.where("false"), F.col("k")).count() == 0
+
+
+def test_passages_and_terms_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 5)))
+    texts = [(i, rng.choice([" ", "\n", "  "]).join(word() for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(90, None), (91, "")]
+    passages = [(100 + k, (t := rng.choice(texts[:60])[1])[(a := rng.randint(0, max(0, len(t) - 1))) : a + rng.randint(1, 40)]) for k in range(60)] + [(300, None), (301, ""), (302, "zz zz zz"), (303, "ab  cd")]
+    got = {tuple(r) for r in retrieval.passages_in(spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame(passages, "passage_key long, passage string")).collect()}
+    assert got == {(i, k) for i, t in texts for k, p in passages if t and p and p in t}
+    queries = [(k, " ".join(word() for _ in range(4)) + " a'b İx") for k in range(5)]
+    pages = [(str(i), t) for i, t in texts] + [("tr", "İX a'b-c")]
+    rows = retrieval.keyword_baseline(spark.createDataFrame(pages, "page string, body string"), spark.createDataFrame(queries, "query_id long, text string"), k=1000).collect()
+    terms = {(r["query_id"], r["term"]) for r in retrieval.query_terms(spark.createDataFrame(queries, "query_id long, text string")).collect()}
+    low = {r["page"]: r["low"] for r in spark.createDataFrame(pages, "page string, body string").select("page", F.lower("body").alias("low")).collect()}
+    want = {}
+    for q, term in terms:
+        for page, body in low.items():
+            if body and term in body:
+                n, total = want.get((q, page), (0, 0))
+                want[q, page] = (n + 1, total + body.count(term))
+    assert {(r["query_id"], r["page"]): (r["distinct_terms"], r["total_occurrences"]) for r in rows} == want
+
+
+def test_linking(spark):
+    aliases = spark.createDataFrame([("Data Team", "Data Team"), ("DT", "Data Team"), ("Data", "Data"), ("(X)", "Ex"), ("R&D", "Research"), ("Åsa", "Åsa")], "alias string, title string")
+    rows = [
+        ("a", "Data Team and DT, Data. R&D (X) [[Data Team|x]] `Data`", "R&D Åsa Åsas"),
+        ("b", "DataTeam Data_x [Data] xData ```Data\n``` Data", None),
+        ("Data", "Data Team, Data", "DT"),
+        ("c", None, "no alias here"),
+    ]
+    got = {r["self_title"]: r for r in register.link_entries(spark.createDataFrame(rows, "self_title string, agenda string, decisions string"), aliases).collect()}
+    assert got["a"]["agenda"] == "[[Data]] Team and DT, Data. [[Research|R&D]] [[Ex|(X)]] [[Data Team|x]] `Data`" and got["a"]["decisions"] == "R&D [[Åsa]] Åsas"
+    assert got["a"]["links"] == ["Data", "Ex", "Research", "Åsa"]
+    assert got["b"]["agenda"] == "DataTeam Data_x [Data] xData ```Data\n``` [[Data]]" and got["b"]["decisions"] is None
+    assert got["Data"]["agenda"] == "[[Data Team]], Data" and got["Data"]["decisions"] == "DT"
+    assert got["c"]["links"] == []
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "wiki" / ".hidden").mkdir(parents=True)
     (tmp_path / "wiki" / "A page.md").write_text('---\ntitle: "A"\nstatus: seed\n---\nbody [[B]]\n')
