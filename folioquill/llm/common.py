@@ -2,72 +2,29 @@
 
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F, Window as W
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
+from ..storage import materialize, shared_dir, tidy  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file://{os.path.join(tempfile.gettempdir(), 'folioquill-shared')}").rstrip("/")
-
-
-_scopes: list[list[str]] = []
-
-
-def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs only the running stage. Tables made inside a ``tidy``
-    function go when it returns, except those to ``keep``, which its lazy result still reads; the
-    folder's own retention removes these.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tidy(f):
-    """Make ``f`` (its first argument a DataFrame) remove the tables that it wrote and does not keep."""
-    @functools.wraps(f)
-    def run(df, *args, **kwargs):
-        _scopes.append([])
-        try:
-            return f(df, *args, **kwargs)
-        finally:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            for name in _scopes.pop():
-                path = jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(conf).delete(path, True)
-
-    return run
-
-
 def ascii_lower(c):
     """Lower-case A-Z only. All-ASCII texts take the fast path; others keep their non-ASCII letters."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: str, n_rows: int, out: str = "rank", first=None) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: str, n_rows: int, out: str = "rank", tier=None) -> DataFrame:
     """Number the rows of each key from 0 without gaps and without gathering a key in one task.
 
     Rows are dealt by (key, hash bucket); a key's rank is the bucket's running start plus the
-    row number within the bucket. ``order`` must be unique. ``first``: a boolean column whose
-    true rows are numbered before the others of their key.
+    row number within the bucket. ``order`` must be unique. ``tier``: a small number; rows of a lower
+    one are numbered before the others of their key.
     """
     n = max(16, n_rows // 4000)
     bucket = F.pmod(F.xxhash64(order, F.lit(17)), F.lit(n))  # a hash of its own, in case the key is a hash of the row
-    if first is not None:
-        bucket = bucket + F.when(first, 0).otherwise(n)
+    if tier is not None:
+        bucket = bucket + tier * F.lit(n)
     x = df.withColumn("_bucket", bucket)
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = x.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))

@@ -262,7 +262,24 @@ def test_sharding_law_and_cuts(spark):
     spread = defaultdict(set)
     for x in r:
         spread[texts[x["doc_id"]]].add(x["shard"])
-    assert sum(len(spread[g]) == 1 for g in groups) >= 25
+    assert all(len(spread[g]) == 1 for g in groups) and len(spread["hot"]) <= 4
+
+
+def test_sharding_cuts_no_group_that_fits(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    r = op8_sharding.assign_shards(table(spark, texts)).collect()
+    where, sizes = defaultdict(set), Counter(x["shard"] for x in r)
+    for x in r:
+        where[texts[x["doc_id"]]].add(x["shard"])
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and max(map(len, where.values())) == 1
+    crowded = [f"text {k // 3}" for k in range(301)]  # every document is linked, so no other gives way
+    got = op8_sharding.assign_shards(table(spark, crowded)).collect()
+    where, sizes = defaultdict(set), Counter(x["shard"] for x in got)
+    for x in got:
+        where[crowded[x["doc_id"]]].add(x["shard"])
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and sum(len(v) > 1 for v in where.values()) <= 40
+    twice = table(spark, ["a", "b", "a"]).unionByName(table(spark, ["a", None]))
+    assert sorted(x["doc_id"] for x in op8_sharding.assign_shards(twice).collect()) == [0, 0, 1, 1, 2]
 
 
 def test_licences(spark):
