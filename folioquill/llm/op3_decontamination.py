@@ -11,11 +11,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, materialize, tidy
 
 N, GRAM = 10, 3
-#: Above so many grams or windows the sets are joined by shuffle and not held in the plan or broadcast.
-SET_LIMIT = 50_000
+#: Up to so many grams the set is a hash set in the plan; up to BROADCAST_LIMIT (8 bytes each) it is broadcast as a table; beyond, it is joined by shuffle.
+SET_LIMIT, BROADCAST_LIMIT = 50_000, 2_000_000
+#: Up to so many windows their texts are broadcast.
+WINDOW_LIMIT = 50_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,7 +46,7 @@ def windows_of(m: int) -> Column:
 
 
 def scan(docs: DataFrame, windows: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, words): words only for documents that hold a gram of some window, else null."""
+    """(_row, doc_id, n_words, words), written: words only for documents that hold a gram of some window, else null."""
     x = docs.select(F.col("doc_id"), words_of(F.col("text").cast("string")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     sizes = sorted(r["m"] for r in windows.select("m").distinct().collect())  # at most N rows
     probes, sets = [], []
@@ -55,38 +57,43 @@ def scan(docs: DataFrame, windows: DataFrame, gram: int = GRAM) -> DataFrame:
         sets.append(windows.where(F.col("m") == m).select(F.explode(gram_hashes(ws, F.sequence(F.lit(0), F.lit(m - g)), g)).alias("h")))
         starts = F.when(F.col("n_words") >= m, F.sequence(F.lit(0), (F.col("n_words") - g).cast("int"), F.lit(stride)))
         probes.append(F.coalesce(gram_hashes(F.col("words"), starts, g), F.array().cast("array<bigint>")))
+    row = F.monotonically_increasing_id().alias("_row")
     if not sizes:
-        return x.select("doc_id", "n_words", F.lit(None).cast("array<string>").alias("words"))
-    grams = reduce(DataFrame.unionByName, sets).distinct()
-    found = [r["h"] for r in grams.limit(SET_LIMIT + 1).collect()]
-    if len(found) <= SET_LIMIT:
+        return materialize(x.select(row, "doc_id", "n_words", F.lit(None).cast("array<string>").alias("words")), "scanned", keep=True)
+    grams = materialize(reduce(DataFrame.unionByName, sets).distinct(), "grams")
+    n = grams.count()
+    if n <= SET_LIMIT:
+        found = [r["h"] for r in grams.collect()]
         hit = reduce(lambda a, b: a | b, [F.exists(p, lambda h: h.isin(*found)) for p in probes])
-        return x.select("doc_id", "n_words", F.when(hit, F.col("words")).alias("words"))
-    tried = x.select("doc_id", F.explode(F.concat(*probes)).alias("h"))
-    some = tried.join(grams, "h", "left_semi").select("doc_id").distinct().withColumn("hit", F.lit(True))
-    return x.join(some, "doc_id", "left").select("doc_id", "n_words", F.when(F.col("hit"), F.col("words")).alias("words"))
+        return materialize(x.select(row, "doc_id", "n_words", F.when(hit, F.col("words")).alias("words")), "scanned", keep=True)
+    x = materialize(x.select(row, "doc_id", "n_words", "words"), "words")
+    tried = x.select("_row", F.explode(F.concat(*probes)).alias("h"))
+    some = tried.join(F.broadcast(grams) if n <= BROADCAST_LIMIT else grams, "h", "left_semi").select("_row").distinct().withColumn("hit", F.lit(True))
+    return materialize(x.join(some, "_row", "left").select("_row", "doc_id", "n_words", F.when(F.col("hit"), F.col("words")).alias("words")), "scanned", keep=True)
 
 
+@tidy
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_words (positions from 0).
 
     A null or empty text has no words and is clean. An empty benchmark leaves all clean. Repeated
-    items count each by its own item_id. doc_id must be unique; other columns are ignored.
+    items count each by its own item_id, rows of one item_id as one item, a null item_id as none.
+    Rows are documents of their own, whatever their doc_id; there are no ties; other columns are ignored.
     """
     windows = materialize(item_windows(benchmark, n), "windows")
-    base = materialize(scan(docs, windows), "scanned")
+    base = scan(docs, windows)
     sizes = [r["m"] for r in windows.select("m").distinct().collect()]
     seen = base.where("words is not null")
-    runs = seen.select("doc_id", F.explode(F.concat(F.array().cast("array<struct<at:int,m:int,w:string>>"), *map(windows_of, sizes))).alias("r")).select("doc_id", "r.at", "r.m", "r.w")
+    runs = seen.select("_row", F.explode(F.concat(F.array().cast("array<struct<at:int,m:int,w:string>>"), *map(windows_of, sizes))).alias("r")).select("_row", "r.at", "r.m", "r.w")
     known = windows.select("item_id", "w", "m")
-    if windows.count() <= SET_LIMIT:
+    if windows.count() <= WINDOW_LIMIT:
         known = F.broadcast(known)
-    hits = materialize(runs.join(known, ["m", "w"]).select("doc_id", "at", "m", "item_id"), "hits")
-    items = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(
-        F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
-    spots = hits.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")).distinct()
-    spots = spots.groupBy("doc_id").agg(F.count("*").alias("n_hit"), F.array_sort(F.collect_list("at")).alias("hit_words"))
-    y = base.select("doc_id", "n_words").join(spots, "doc_id", "left").join(items, "doc_id", "left")
+    hits = materialize(runs.join(known, ["m", "w"]).select("_row", "at", "m", "item_id"), "hits", keep=True)
+    items = hits.select("_row", "item_id").distinct().groupBy("_row").agg(
+        F.count("item_id").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256"))
+    spots = hits.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("at")).distinct()
+    spots = spots.groupBy("_row").agg(F.count("*").alias("n_hit"), F.array_sort(F.collect_list("at")).alias("hit_words"))
+    y = base.select("_row", "doc_id", "n_words").join(spots, "_row", "left").join(items, "_row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return y.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), "hit_words")
 
