@@ -2,12 +2,14 @@
 
 Normalised vectors fall into buckets of quantised Gaussian projections, in several tables; the
 vectors of a bucket are compared exactly, in blocks, in double precision. A pair counts in the
-first table where it meets, so links are counted without writing pairs down. Equal vectors of a
-label are one row with a weight.
+first table where it meets, so links are counted without writing pairs down; a bucket with the
+members of an earlier one is not compared again. Equal vectors of a label are one row with a weight.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -15,12 +17,34 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, materialize, tidy
 
 COSINE, TABLES, PROJECTIONS, WIDTH, BLOCK = 0.98, 40, 8, 1.0, 512
+#: Vectors that the tables and projections above are for. Each RANDOM_MATES-fold more take one projection more, so that a
+#: bucket holds as many unlike vectors as before, and as many tables more as keep the recall.
+VECTORS, RANDOM_MATES = 100_000, 3.7
+
+
+def bucket_chance(cosine: float, width: float) -> float:
+    """The chance that one projection puts two vectors of this cosine into one slot."""
+    c = width / math.sqrt(2 - 2 * cosine)
+    return math.erf(c / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * c) * (1 - math.exp(-c * c / 2))
+
+
+def shape(n: int, cosine: float = COSINE, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> tuple[int, int]:
+    """Tables and projections for n vectors: the chance to miss a pair at the threshold stays that of the given ones."""
+    more = max(0, math.ceil(math.log(max(n, 1) / VECTORS) / math.log(RANDOM_MATES)))
+    p = bucket_chance(cosine, width)
+    miss = tables * math.log1p(-(p**projections))
+    return (math.ceil(miss / math.log1p(-(p ** (projections + more)))) if more else tables), projections + more
 
 
 def unit_rows(batch) -> np.ndarray:
-    """Float64 rows of an embedding column."""
+    """Float64 rows of an embedding column, normalised."""
     col = batch.column(1)
-    return np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
+    return normalised(np.asarray(col.flatten(), np.float64).reshape(len(col), -1))
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def hasher(dim: int, tables: int, projections: int, width: float, seed: int = 7):
@@ -43,42 +67,44 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
 
     Only vectors of equal, non-null labels and equal length are compared. Null or zero vectors and those with null or
     non-finite components link with nothing. Recall is that of the hashing: with the defaults a
-    pair at the threshold is missed with a chance of about e-5, nearer ones less. Rows of one
+    pair at the threshold is missed with a chance of about e-5, nearer ones less; ``tables`` and
+    ``projections`` are those for up to VECTORS vectors and grow beyond (``shape``). Rows of one
     vec_id are vectors of their own that share a name; a null vec_id names nothing. Other columns are
     ignored; an empty table gives no rows.
     """
-    base = vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
-    base = materialize(base.withColumn("c", F.when(good, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "vectors", keep=True)
+    base = vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding").alias("v"))
+    wide = F.transform("v", lambda x: x.cast("double"))
+    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = F.coalesce(F.col("label").isNotNull() & ~bad & F.exists(wide, lambda x: x != 0), F.lit(False))
+    base = materialize(base.withColumn("c", F.when(good, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.array_join(F.transform(wide, lambda x: (x + F.lit(0.0)).cast("string")), ",")), 256))), "vectors", keep=True)
     ids = base.select("vec_id", "c")
     groups = materialize(base.where("c is not null").groupBy("c").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    reps = base.join(groups.select("c", F.col("rep").alias("vec_id"), "n"), ["c", "vec_id"]).dropDuplicates(["c"]).select("vec_id", "v", F.xxhash64(F.col("label").cast("string"), F.size("v")).alias("label"), "n")
+    reps = base.join(groups.select("c", F.col("rep").alias("vec_id"), "n"), ["c", "vec_id"]).dropDuplicates(["c"]).select(F.col("vec_id").alias("id"), "v", F.xxhash64(F.col("label").cast("string"), F.size("v")).alias("label"), "n")
+    reps = materialize(reps, "representatives")
+    tables, projections = shape(reps.count(), cosine, tables, projections, width)
 
     def hashed(batches):
         known = {}
         for batch in batches:
-            col = batch.column(1)
-            sizes = np.diff(np.asarray(col.offsets))
+            sizes = np.diff(np.asarray(batch.column(1).offsets))
             for dim in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == dim))
-                x = unit_rows(part)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                code = known.setdefault(dim, hasher(int(dim), tables, projections, width))(x)
+                code = known.setdefault(dim, hasher(int(dim), tables, projections, width))(unit_rows(part))
                 code = code ^ (np.asarray(part.column(2)) * 0x5851F42D)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), int(dim)).cast(pa.list_(pa.float64())), part.column(2), part.column(3), pa.FixedSizeListArray.from_arrays(pa.array(code.ravel()), tables).cast(pa.list_(pa.int64()))],
-                    names=["id", "v", "label", "n", "codes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(code.ravel()), tables).cast(pa.list_(pa.int64()))], names=["id", "codes"])
 
-    points = materialize(reps.mapInArrow(hashed, "id long, v array<double>, label long, n long, codes array<long>"), "points")
-    spots = materialize(points.select("id", F.posexplode("codes").alias("t", "code")), "spots")
-    full = materialize(spots.groupBy("t", "code").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
+    codes = materialize(reps.select("id", "v", "label").mapInArrow(hashed, "id long, codes array<long>"), "codes")
+    spots = materialize(codes.select("id", F.posexplode("codes").alias("t", "code")), "spots")
+    full = spots.groupBy("t", "code").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y")).where("m > 1")
+    full = full.groupBy("m", "x", "y").agg(F.min(F.struct("t", "code")).alias("b")).select("b.t", "b.code", "m")  # one bucket for each set of members, the earliest
+    full = materialize(full, "buckets")
     # a bucket is cut into blocks of about BLOCK vectors; every two blocks of it meet in one task
     met = spots.join(full, ["t", "code"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     met = met.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("id", "t", "code", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    # the codes that a vector carries tell in which tables a pair met before: 32 bits of each, a false match of which costs less recall than the hashing
+    points = reps.join(codes.select("id", F.transform("codes", lambda c: F.shiftright(c, 32).cast("int")).alias("codes")), "id")
     met = met.join(points, "id")
     met = met.repartition("t", "code", "i", "j").sortWithinPartitions("t", "code", "i", "j", "mine", "id")
 
@@ -114,7 +140,7 @@ def block_links(held: list, key: tuple, cosine: float):
     block = np.array([h[0] for h in held])
     ids, labels, n = (np.array([h[k] for h in held], np.int64) for k in (1, 2, 3))
     try:
-        v = np.array([h[4] for h in held])
+        v = normalised(np.array([h[4] for h in held], np.float64))
         codes = np.array([h[5] for h in held], np.int64)
     except ValueError:  # vectors of several lengths met by chance: their labels differ, so split them
         for size in {len(h[4]) for h in held}:

@@ -1,5 +1,6 @@
 import numpy as np
 
+from folioquill.llm import op4_embeddings
 from folioquill.llm.op4_embeddings import near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, links string"
@@ -52,3 +53,31 @@ def test_near_vectors_match_brute_force(spark):
 
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_shape_keeps_the_recall():
+    chance = op4_embeddings.bucket_chance(0.98, 1.0)
+    miss = lambda tables, k: (1 - chance**k) ** tables
+    assert op4_embeddings.shape(1) == op4_embeddings.shape(100_000) == (40, 8)
+    for n in (200_000, 10**7, 10**10):
+        tables, k = op4_embeddings.shape(n)
+        assert 8 < k <= 18 and miss(tables, k) <= miss(40, 8) < 2e-5
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 16))
+    near = x / np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * near).sum(1, keepdims=True) * near
+    other = 0.98 * near + np.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    code = op4_embeddings.hasher(16, 400, 1, 1.0)
+    assert abs((code(near) == code(other)).mean() - chance) < 0.01
+
+
+def test_more_tables_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(op4_embeddings, "VECTORS", 20)
+    monkeypatch.setattr(op4_embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((8, 32))
+    rows = [(i, [float(x) for x in base[i % 8] + 0.1 * rng.standard_normal(32)], i % 3) for i in range(300)]
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(0, 60, 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert got == brute(rows)
