@@ -117,12 +117,12 @@ def before_word(last: np.ndarray) -> np.ndarray:
     return np.r_[True, last[:-1]] if len(last) else last
 
 
-def chunks(texts: list[str]):
-    """Slices of the texts of about ``CHUNK`` characters."""
+def chunks(texts: list[str], most: int):
+    """Slices of the texts of about ``most`` characters."""
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
             size += len(texts[end])
             end += 1
         yield at, end
@@ -135,37 +135,39 @@ def first_of(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
 
 
-def hash_spans(batches):
+def hash_spans(chunk: int, most: int):
     """(h, g, doc_id, place) of every span: its 128-bit hash and, in ``place``, first sentence, sentences and whether it is ``later``.
 
     A span that stands earlier among those that the task holds is later for certain: such rows need
     not meet the others, so of a hot span one row of a task does.
     """
-    held, size = [], 0
-
-    def flush():
+    def flush(held):
         h, g, doc, place = map(np.concatenate, zip(*held))
         order = np.lexsort((place, doc, g, h))
         h, g, doc, place = (c[order] for c in (h, g, doc, place))
         of = first_of(h, g)
         later = (doc != doc[of]) | (place != place[of])
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, (h, g, doc, place | later))), names=["h", "g", "doc_id", "place"])
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (h, g, doc, place | later))), names=["h", "g", "doc_id", "place"])
 
-    for batch in batches:
-        ids, texts = np.asarray(batch.column(0)), [t or "" for t in batch.column(1).to_pylist()]
-        for a, e in chunks(texts):
-            x = Parsed(texts[a:e])
-            i, j = x.spans()
-            if len(i):
-                h, g = (run_hashes(x.words, x.word[i], x.word[j], base).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-                at = i - np.searchsorted(x.doc, x.doc[i])
-                held.append((h, g, ids[a:e][x.doc[i]], (at << 8) | ((j - i) << 1)))
-                size += len(i)
-            if size > FLUSH:
-                yield from flush()
-                held, size = [], 0
-    if held:
-        yield from flush()
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            ids, texts = np.asarray(batch.column(0)), [t or "" for t in batch.column(1).to_pylist()]
+            for a, e in chunks(texts, chunk):
+                x = Parsed(texts[a:e])
+                i, j = x.spans()
+                if len(i):
+                    h, g = (run_hashes(x.words, x.word[i], x.word[j], base).view(np.int64) for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+                    at = i - np.searchsorted(x.doc, x.doc[i])
+                    held.append((h, g, ids[a:e][x.doc[i]], (at << 8) | ((j - i) << 1)))
+                    size += len(i)
+                if size > most:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
 
 
 def later_spans(batches):
@@ -186,7 +188,7 @@ def later_spans(batches):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, at, size) of every span that is not the first of its text."""
     x = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    x = x.mapInArrow(hash_spans, "h long, g long, doc_id long, place long")
+    x = x.mapInArrow(hash_spans(CHUNK, FLUSH), "h long, g long, doc_id long, place long")
     x = x.repartition(F.when(F.col("place") % 2 == 0, F.col("h")).otherwise(F.xxhash64("doc_id", "place")))
     return x.sortWithinPartitions("h", "g", "doc_id", "place").mapInArrow(later_spans, "doc_id long, at long, size long")
 
@@ -212,7 +214,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, at, size = batch.column("text").to_pylist(), batch.column("_at"), batch.column("_size")
             counts = np.zeros((3, len(texts)), np.int64)
-            for a, e in chunks([t or "" for t in texts]):
+            for a, e in chunks([t or "" for t in texts], CHUNK):
                 x = Parsed([t or "" for t in texts[a:e]])
                 first = np.searchsorted(x.doc, np.arange(e - a + 1))
                 counts[0, a:e] = np.diff(first)

@@ -30,6 +30,7 @@ WORDS = 5
 BAND = 4  # sizes of a band span this factor
 FLUSH = 1_000_000  # keys that a task combines at a time
 BROADCAST_IDS = 200_000
+CLASS_BITS = 64  # of a class's own fingerprint; tests take fewer
 BLOCK = 4096  # members of a group that are compared at once
 U = np.uint64
 
@@ -114,32 +115,34 @@ def _texts(batches):
             yield doc_id, text.as_py()
 
 
-def class_of(sh: np.ndarray) -> int:
-    """Fingerprint of a set."""
+def class_of(sh: np.ndarray, clash: frozenset = frozenset(), bits: int = 64) -> tuple[int, int]:
+    """The class of a set, of ``bits``, and a second fingerprint of 64 bits; a class that different sets fell into is told apart by the second."""
     if not len(sh):
-        return 0
+        return 0, 0
     parts = np.array([np.bitwise_xor.reduce(sh), mix(sh ^ U(0x5851F42D4C957F2D)).sum(), len(sh)], U)
-    return int(mix((parts * PLACE[:3]).sum(keepdims=True)).view(np.int64)[0])
+    c, d = (int(mix((parts * PLACE[k : k + 3]).sum(keepdims=True)).view(np.int64)[0]) for k in (0, 3))
+    c >>= 64 - bits
+    return (int(mix(np.array([c ^ d], np.int64).view(U)).view(np.int64)[0]) if c in clash else c), d
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U else x.astype(np.int64, copy=False))
 
 
-def classify(batches):
-    """(doc_id, class, size) of each text."""
-    for batch in batches:
-        ids = pa.array(batch.column(0))
-        out = [(class_of(s), len(s)) for s in map(shingles, (t.as_py() for t in batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([ids, pa.array([c for c, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["doc_id", "c", "n"])
+def classify(clash: frozenset, bits: int):
+    """(doc_id, class, second fingerprint, size) of each text."""
+    def run(batches):
+        for batch in batches:
+            out = [(*class_of(s, clash, bits), len(s)) for s in map(shingles, (t.as_py() for t in batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0)), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3))], names=["doc_id", "c", "d", "n"])
 
+    return run
 
-def emit_keys(batches):
-    """(key, class, pivot): pivot is null where a key leaves the task; keys that several classes of a task share are
-    combined here: all but the smallest class become edges to it, so a hot key leaves a task once."""
-    keys, seen, held = [], set(), 0
 
-    def flush():
+def emit_keys(clash: frozenset, bits: int):
+    """(key, class, pivot): pivot is null where a key leaves the task; keys that several classes of a task share are
+    combined here: all but the smallest class become edges to it, so a hot key leaves a task with one open row."""
+    def flush(keys):
         key = np.concatenate([k for k, _ in keys]).view(np.int64)
         cls = np.repeat(np.array([c for _, c in keys], np.int64), [len(k) for k, _ in keys])
         order = np.lexsort((cls, key))
@@ -147,20 +150,24 @@ def emit_keys(batches):
         first = np.r_[True, key[1:] != key[:-1]]
         pivot = cls[first][np.cumsum(first) - 1]
         keep = first | (cls != pivot)
-        yield pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(cls[keep]), pa.array(pivot[keep], mask=first[keep])], names=["key", "c", "pivot"])
-
-    for _, text in _texts(batches):
-        sh = shingles(text)
-        c = class_of(sh)
-        if len(sh) and c not in seen:
-            seen.add(c)
-            keys.append((segment_keys(sh), c))
-            held += len(keys[-1][0])
-        if held > FLUSH or len(seen) > 50_000:
-            yield from flush()
-            keys, seen, held = [], set(), 0
-    if keys:
-        yield from flush()
+        return pa.RecordBatch.from_arrays([_signed(key[keep]), _signed(cls[keep]), pa.array(pivot[keep], mask=first[keep])], names=["key", "c", "pivot"])
+
+    def run(batches):
+        keys, seen, held = [], set(), 0
+        for _, text in _texts(batches):
+            sh = shingles(text)
+            c, _ = class_of(sh, clash, bits)
+            if len(sh) and c not in seen:
+                seen.add(c)
+                keys.append((segment_keys(sh), c))
+                held += len(keys[-1][0])
+            if held > FLUSH or len(seen) > 50_000:
+                yield flush(keys)
+                keys, seen, held = [], set(), 0
+        if keys:
+            yield flush(keys)
+
+    return run
 
 
 def may_link(everything: bool):
@@ -217,19 +224,25 @@ def may_link(everything: bool):
     return run
 
 
-def sets(batches):
+def sets(clash: frozenset, bits: int):
     """(class, size, sketch, set) of each text."""
-    out, size = [], 0
-    make = lambda: pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([parity_sketch(s).tobytes() for _, s in out], pa.binary()), pa.array([s.view(np.int64) for _, s in out], pa.list_(pa.int64()))], names=["c", "n", "sketch", "s"])
-    for _, text in _texts(batches):
-        sh = shingles(text)
-        out.append((class_of(sh), sh))
-        size += len(sh)
-        if size > 500_000:
-            yield make()
-            out, size = [], 0
-    if out:
-        yield make()
+    def make(out):
+        cols = [pa.array([c for c, _ in out], pa.int64()), pa.array([len(s) for _, s in out], pa.int64()), pa.array([parity_sketch(s).tobytes() for _, s in out], pa.binary()), pa.array([s.view(np.int64) for _, s in out], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["c", "n", "sketch", "s"])
+
+    def run(batches):
+        out, size = [], 0
+        for _, text in _texts(batches):
+            sh = shingles(text)
+            out.append((class_of(sh, clash, bits)[0], sh))
+            size += len(sh)
+            if size > 500_000:
+                yield make(out)
+                out, size = [], 0
+        if out:
+            yield make(out)
+
+    return run
 
 
 @tidy
@@ -241,18 +254,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialize(text.mapInArrow(classify, "doc_id long, c long, n long"), "classes", keep=True)
-    met = text.mapInArrow(emit_keys, "key long, c long, pivot long")
-    met = met.withColumn("least", F.min(F.when(F.col("pivot").isNull(), F.col("c"))).over(W.partitionBy("key")))
+    rows, clash = materialize(text.mapInArrow(classify(frozenset(), CLASS_BITS), "doc_id long, c long, d long, n long"), "classes", keep=True), frozenset()
+    prints = materialize(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("d").alias("d0"), F.max("d").alias("d1")), "prints")
+    mixed = prints.where("d0 <> d1").select("c")
+    if not mixed.isEmpty():  # different sets under one 64-bit class: a chance of one in 2^64 for a pair
+        clash = frozenset(r["c"] for r in mixed.collect())
+        rows = materialize(text.mapInArrow(classify(clash, CLASS_BITS), "doc_id long, c long, d long, n long"), "classes", keep=True)
+        prints = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
+    met = text.mapInArrow(emit_keys(clash, CLASS_BITS), "key long, c long, pivot long")
+    # a key's open rows, one of a task, meet; those with a pivot are edges already and stand alone
+    apart = W.partitionBy("key", F.when(F.col("pivot").isNotNull(), F.col("c")))
+    met = met.withColumn("least", F.min("c").over(apart))
     star = met.where("pivot is not null or c > least").select("key", F.coalesce("pivot", "least").alias("pivot"), "c")
     star = materialize(star, "stars")
 
-    classes = materialize(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep")), "representatives")
+    classes = materialize(prints.select("c", "rep"), "representatives")
     members = materialize(star.select("key", "c").unionByName(star.select("key", F.col("pivot").alias("c"))).distinct(), "members")
     live = materialize(members.select("c").distinct().join(classes, "c"), "live")
     ids, n_live = live.select(F.col("rep").alias("doc_id")), live.count()
     chosen = text.join(F.broadcast(ids) if n_live <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    whole = materialize(chosen.mapInArrow(sets, "c long, n long, sketch binary, s array<long>"), "sets")
+    whole = materialize(chosen.mapInArrow(sets(clash, CLASS_BITS), "c long, n long, sketch binary, s array<long>"), "sets")
 
     def linked(pairs):
         a, b = whole.select(F.col("c").alias("a"), F.col("s").alias("sa")), whole.select(F.col("c").alias("b"), F.col("s").alias("sb"))
