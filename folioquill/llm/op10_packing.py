@@ -16,7 +16,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import gapless_rank, materialize
+from .common import gapless_rank, materialize, tidy
 
 CAPACITY, END_ID = 1024, 2
 #: Fixed value: the pre-tokenising pattern of the public byte-level BPE vocabulary.
@@ -142,6 +142,7 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, int
     return runs
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens; one row per piece.
 
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     rank, so give unique ids. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces", keep=True)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = pack_histogram(counts, capacity)
     if not runs:

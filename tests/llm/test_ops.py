@@ -159,8 +159,10 @@ def test_decontamination_brute(spark, monkeypatch):
                     hit |= set(range(k, k + m))
                     found.add(str(i))
         want[d] = (len(ws), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
-    for limit in (op3_decontamination.SET_LIMIT, 3):  # with the set in the plan, and joined
-        monkeypatch.setattr(op3_decontamination, "SET_LIMIT", limit)
+    for limits in ((50_000, 0), (3, 2_000_000), (3, 3)):  # with the set in the plan, broadcast, and joined
+        for name, limit in zip(("SET_LIMIT", "BROADCAST_LIMIT"), limits):
+            monkeypatch.setattr(op3_decontamination, name, limit)
+        monkeypatch.setattr(op3_decontamination, "WINDOW_LIMIT", limits[1])
         got = op3_decontamination.decontaminate(table(spark, texts), bench).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got} == want
 
@@ -199,8 +201,9 @@ def test_jaccard_brute(spark, monkeypatch):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     want = {i: (len(sets[i]), top(i)) for i in range(len(texts))}
-    for block in (4096, 20):
+    for block, bits in ((4096, 64), (20, 64), (4096, 6)):  # with six bits, different sets share a class
         monkeypatch.setattr(op5_jaccard, "BLOCK", block)
+        monkeypatch.setattr(op5_jaccard, "CLASS_BITS", bits)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op5_jaccard.jaccard_components(table(spark, texts)).collect()}
         assert got == want
 
@@ -386,3 +389,22 @@ def test_wrapped_licence_text_is_no_claim(spark):
     got = {r["doc_id"]: r for r in op9_licences.scan_licences(table(spark, texts)).collect()}
     assert [got[i]["text_licence"] for i in range(6)] == ["ISC"] * 6
     assert got[6]["digest"] != got[7]["digest"]
+
+
+def test_whole_licences_and_wraps(spark):
+    names = sorted(op9_licences.TEXTS)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause", "MIT"} <= set(names)
+    texts = [op9_licences.TEXTS[n] for n in names] + [re.sub(r"[ \t]*\n(?!\n)", "\n", op9_licences.TEXTS[n]).upper() for n in names] + ["x " + op9_licences.TEXTS[n] for n in names]
+    got = {r["doc_id"]: r["text_licence"] for r in op9_licences.scan_licences(table(spark, texts)).collect()}
+    assert [got[i] for i in range(3 * len(names))] == names + names + [None] * len(names)
+
+
+def test_rows_of_one_or_no_id_are_documents_of_their_own(spark):
+    licence = op9_licences.TEXTS["MIT"]
+    df = table(spark, [licence, "a b c d e f g h i j"]).unionByName(table(spark, ["Released under the MIT License."]))
+    df = df.unionByName(table(spark, ["a b c d e f g h i j", None]).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_licence"] or "", r["n_notices"]) for r in op9_licences.scan_licences(df).collect())
+    assert got == [(False, 0, "MIT", 0), (False, 0, "MIT", 1), (False, 1, "", 0), (True, 0, "", 0), (True, 0, "", 0)]
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "")], "item_id long, text string")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_hit"], r["n_items"]) for r in op3_decontamination.decontaminate(df, bench).collect())
+    assert got == [(False, 0, 0, 0), (False, 0, 0, 0), (False, 1, 10, 1), (True, 0, 0, 0), (True, 0, 10, 1)]
