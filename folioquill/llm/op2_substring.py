@@ -46,6 +46,9 @@ def members(chars: str) -> np.ndarray:
 IS_STOP, IS_SPACE, IS_UNSPACED = map(members, (STOP, SPACE, UNSPACED))
 
 
+RESERVED = {"_n_sentences", "_n_removed", "_n_cut_chars", "__cut", "__at", "__size", "__doc_id"}
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
@@ -199,20 +202,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A null text stays null; texts without words have no sentences and stay. Of texts under equal
     (doc_id, place) in rows of one doc_id all are the first, so give unique ids; a null doc_id is
-    neither compared nor cut. Extra columns pass through, whatever their names, but for the prefix
-    ``_``, which is reserved. An empty table gives no rows.
+    neither compared nor cut. Extra columns pass through; those with a name of the three new columns
+    (or of RESERVED, used inside) give way. An empty table gives no rows.
     """
-    gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("_cut"))  # at most a document's own spans
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in RESERVED])
+    gone = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("__cut"))  # at most a document's own spans
     names = docs.columns
-    gone = materialize(gone, "cuts", keep=True).withColumnRenamed("doc_id", "_doc_id")
+    gone = materialize(gone, "cuts", keep=True).withColumnRenamed("doc_id", "__doc_id")
     keep = [c for c in names if c != "text"]
-    y = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
-    y = y.select(*keep, F.col("text").cast("string").alias("text"), F.col("_cut.at").alias("_at"), F.col("_cut.size").alias("_size"))
+    y = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc_id"), "left")
+    y = y.select(*keep, F.col("text").cast("string").alias("text"), F.col("__cut.at").alias("__at"), F.col("__cut.size").alias("__size"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in y.select(*keep, "text").schema.fields) + ", _n_sentences long, _n_removed long, _n_cut_chars long"
 
     def cut(batches):
         for batch in batches:
-            texts, at, size = batch.column("text").to_pylist(), batch.column("_at"), batch.column("_size")
+            texts, at, size = batch.column("text").to_pylist(), batch.column("__at"), batch.column("__size")
             counts = np.zeros((3, len(texts)), np.int64)
             for a, e in chunks([t or "" for t in texts], CHUNK):
                 x = Parsed([t or "" for t in texts[a:e]])

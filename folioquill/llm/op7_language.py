@@ -129,8 +129,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     ``und`` with score 0, rejected, where text is null or has no letter, and everywhere if nothing
     could be learned; else the likeliest language and its calibrated probability, rejected below
-    the model's threshold. Only text is read. An empty table gives no rows.
+    the model's threshold. Only text is read. Extra columns pass through; those with a name of the
+    three new ones give way. Rows are told one by one, whatever their doc_id. An empty table gives no rows.
     """
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("_lang", "_score", "_rejected")])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _lang string, _score double, _rejected boolean"

@@ -408,3 +408,31 @@ def test_rows_of_one_or_no_id_are_documents_of_their_own(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (2, "")], "item_id long, text string")
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_hit"], r["n_items"]) for r in op3_decontamination.decontaminate(df, bench).collect())
     assert got == [(False, 0, 0, 0), (False, 0, 0, 0), (False, 1, 10, 1), (True, 0, 0, 0), (True, 0, 10, 1)]
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    rng = random.Random(14)
+    text = prose(rng, 80) + "."
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, None), (4, ""), (5, prose(rng, 70)), (6, "x" * 200_000), (7, prose(rng, 60_000))]
+    names = ["_lang", "_score", "_n_removed", "_row", "_id", "rank", "h", "c", "kept", "words"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    spark.createDataFrame([(1, prose(rng, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for some in (docs, docs.where("false")):
+        now = some
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            found = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns
+                now = spark.createDataFrame(found, out.schema)
+            if some is docs:
+                ids = {r["doc_id"] for r in found}
+                assert {1, 5, 7} <= ids and (name == "language_id") <= (3 not in ids)
+            else:
+                assert not found
+
+
+def test_chats_of_an_empty_table(spark):
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert op6_chat.digests(op6_chat.format_chats(rows)).count() == 0
