@@ -9,6 +9,7 @@ from ..operators import canvas, fidelity, graph, planning, register, retrieval
 from ..sources import files, sinks
 from .registry import query
 from .search import INDEX, index
+from .text import blocks_sql
 from .work import QUEUE, SEGMENTS, event_segments, inbox, numbered_docs, queue_events
 
 LONG = lambda c: c.cast("long")
@@ -46,19 +47,19 @@ def scan_tiling_pages(t):
     return files.skip_reasons(x, F.col("doc_id") % 10 != 0, 4000)
 
 
-@query("scan_eml")
+@query("scan_eml", """SELECT conv_id, turn, CAST(length('---' || chr(10) || 'from: ' || chr(39) || 'a@example.org' || chr(39) || chr(10) || 'subject: ' || chr(39) || 'Talk ' || conv_id || chr(39) || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(coalesce(text, ''), '\\A[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+\\z', '', 'g') || chr(10)) AS BIGINT) AS n, CAST(0 AS BIGINT) AS flags FROM conversations""")
 def scan_eml(t):
-    """Each conversation's first turn as a mail, through the mail converter."""
+    """Every turn as a mail, through the mail converter."""
     import pyarrow as pa
 
     mail = F.concat(F.lit("From: a@example.org\nSubject: Talk "), F.col("conv_id").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), F.coalesce("text", F.lit("")))
 
     def run(batches):
         for b in batches:
-            done = [files.mail_to_markdown(m.encode()) for m in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(d[0]) for d in done], pa.int64()), pa.array([len(d[1]) for d in done], pa.int64())], names=["conv_id", "n", "flags"])
+            done = [files.mail_to_markdown(m.encode()) for m in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(d[0]) for d in done], pa.int64()), pa.array([len(d[1]) for d in done], pa.int64())], names=["conv_id", "turn", "n", "flags"])
 
-    return t.conversations.where("turn = 0").select("conv_id", mail.alias("mail")).mapInArrow(run, "conv_id long, n long, flags long")
+    return t.conversations.select("conv_id", LONG(F.col("turn")).alias("turn"), mail.alias("mail")).mapInArrow(run, "conv_id long, turn long, n long, flags long")
 
 
 @query("scoreable_filter", "SELECT p_partkey FROM part WHERE p_partkey % 7 NOT IN (0, 1, 2) AND p_partkey % 5 <> 0")
@@ -124,7 +125,7 @@ def owner_match(t):
     return t.customer.select("c_custkey", register.owned_by(side, "Ann Lee", ["Ann"]).alias("mine"))
 
 
-@query("text_layer_blocks")
+@query("text_layer_blocks", f"SELECT doc_id, CAST(len(b) AS BIGINT) AS blocks, md5(array_to_string(b, chr(10))) AS md5 FROM (SELECT doc_id, {blocks_sql('replace(text, chr(10), chr(12))')} AS b FROM documents)")
 def text_layer_blocks(t):
     x = fidelity.blocks(F.replace(F.col("text"), F.lit("\n"), F.lit("\f")))
     return t.documents.select("doc_id", LONG(F.size(x)).alias("blocks"), F.md5(F.array_join(x, "\n")).alias("md5"))

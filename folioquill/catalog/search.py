@@ -9,7 +9,7 @@ from ..operators import dedup, retrieval
 from ..plans import search as plans
 from ..sources import sinks
 from .registry import query
-from .text import tokens_sql
+from .text import LOSERS, SENTENCES, STRIP, tokens_sql
 
 INDEX = f"""
 d AS (SELECT doc_id, source, {tokens_sql('text')} AS ts FROM documents),
@@ -171,7 +171,27 @@ def cache_misses(t):
     return sinks.cache_misses(x, x.where("lang = 'en'"))
 
 
-@query("search_corpus")
+CORPUS = LOSERS + f""",
+c AS (
+  SELECT 'src-' || substr(sha1(path), 1, 8) || ':' || chunks.chunk_index AS chunk_id, path AS page, {TIERS.replace('page', 'source')} AS tier, raw_text,
+    'This passage is from the source document "' || title || '" (filed under ' || source || '). The document opens: ' || substr({SENTENCES.format(STRIP.format('body'))}[1], 1, 300) || chr(10) || chr(10) || raw_text AS said
+  FROM chunks JOIN pg USING (path) LEFT JOIN losers l ON l.page = path AND l.chunk_index = chunks.chunk_index WHERE l.page IS NULL),
+d AS (SELECT chunk_id, {tokens_sql('said')} AS ts FROM c), dl AS (SELECT chunk_id, len(ts) AS dl FROM d), stat AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+bm AS (
+  SELECT item_id, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN dl USING (chunk_id) CROSS JOIN stat GROUP BY ALL),
+hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 20),
+lifted AS (
+  SELECT item_id, chunk_id, page, tier, raw_text, rank, round(score / CASE WHEN max(score) OVER (PARTITION BY item_id) = 0 THEN 1 ELSE max(score) OVER (PARTITION BY item_id) END + CASE tier WHEN '1' THEN 0.03 WHEN '0' THEN 0.02 WHEN '2' THEN 0.015 ELSE 0 END, 6) AS final_score
+  FROM hit JOIN c USING (chunk_id)),
+again AS (SELECT * REPLACE (row_number() OVER (PARTITION BY item_id ORDER BY final_score DESC, rank) AS rank) FROM lifted),
+nth AS (SELECT *, row_number() OVER (PARTITION BY item_id, page ORDER BY rank) AS nth FROM again),
+spread AS (SELECT * REPLACE (row_number() OVER (PARTITION BY item_id ORDER BY nth > 2, rank) AS rank) FROM nth)"""
+
+
+@query("search_corpus", f"""WITH {CORPUS} SELECT item_id, chunk_id, page, tier, final_score, rank, substr({STRIP.format("regexp_replace(raw_text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')")}, 1, 300) AS snippet FROM spread WHERE rank <= 5""")
 def search_corpus(t):
     from .text import OVERRIDES, PARAGRAPH, pages_of
 

@@ -127,7 +127,8 @@ def dedup_report(t):
     return dedup.dedup_report(dedup.dedup_losers(chunk_table(t), page="page_path"))
 
 
-@query("anti_exclude", f"WITH {LOSERS} SELECT path AS page_path, chunk_index FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM losers l WHERE l.page = c.path AND l.chunk_index = c.chunk_index)")
+@query("anti_exclude", f"""WITH {CHUNKS}, keyed AS (SELECT path, chunk_index, {DEDUP} AS k, count(*) OVER (PARTITION BY path) AS per FROM chunks)
+SELECT path AS page_path, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN length(k) >= 400 THEN k ELSE path || ' ' || chunk_index END ORDER BY per, path, chunk_index) AS nth FROM keyed) WHERE nth = 1""")
 def anti_exclude(t):
     chunks = chunk_table(t)
     gone = dedup.dedup_losers(chunks, page="page_path").select(F.col("page").alias("page_path"), "chunk_index")
@@ -164,7 +165,22 @@ def vocab_recall(t):
     return fidelity.recall_audit(halves(t))
 
 
-@query("recover_text_layer")
+def blocks_sql(text: str) -> str:
+    """The paragraphs of a text, each on one line, as a list."""
+    white = "[ \\t\\n\\r\\f\\v]"
+    lines = f"list_filter(list_transform(regexp_split_to_array(p, '\\r\\n|\\n|\\r'), lambda s: regexp_replace(s, '\\A{white}+|{white}+\\z', '', 'g')), lambda s: s <> '')"
+    return f"list_filter(list_transform(regexp_split_to_array(replace({text}, chr(12), chr(10) || chr(10)), '\\n{white}*\\n'), lambda p: array_to_string({lines}, ' ')), lambda p: p <> '')"
+
+
+GONE = f"len(list_filter({VOCAB.format('b')}, lambda w: NOT list_contains(have, w)))"
+
+
+@query("recover_text_layer", f"""
+WITH h AS (SELECT doc_id AS key, text AS original, substr(text, 1, CAST(trunc(length(text) * (doc_id % 10) / 9) AS INT)) AS converted FROM documents),
+v AS (SELECT *, {blocks_sql('original')} AS blocks, {VOCAB.format('converted')} AS have, {VOCAB.format('original')} AS want FROM h),
+m AS (SELECT *, list_filter(blocks, lambda b: {GONE} >= 3 AND {GONE} / len({VOCAB.format('b')}) > 0.4) AS missing, CASE WHEN len(want) > 0 THEN len(list_intersect(want, have)) / len(want) END AS share FROM v),
+k AS (SELECT *, CASE WHEN len(blocks) > 0 AND share < 0.7 THEN 'replaced' WHEN len(missing) > 0 THEN 'appended' END AS mode FROM m)
+SELECT key, mode, CAST(length(CASE mode WHEN 'replaced' THEN array_to_string(blocks, chr(10) || chr(10)) WHEN 'appended' THEN rtrim(converted) || chr(10) || chr(10) || '## Text recovered from the PDF text layer' || chr(10) || chr(10) || array_to_string(missing, chr(10) || chr(10)) || chr(10) ELSE converted END) AS BIGINT) AS n FROM k""")
 def recover_text_layer(t):
     return fidelity.recover(halves(t)).select("key", "mode", LONG(F.length("text")).alias("n"))
 

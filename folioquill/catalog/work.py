@@ -43,16 +43,20 @@ def convert_route(t):
 
 def stored(t):
     """A stored plan of half of the files, every seventh overridden to skip."""
-    k = F.crc32(F.col("path").cast("binary"))
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("long")
     return depths(t).where(k % 2 == 0).select("path", F.when(k % 7 == 0, "skip").otherwise("full").alias("depth"), F.lit("stored").alias("reason"), (k % 7 == 0).alias("override"))
 
 
-@query("join_plan_override")
+STORED = INBOX + """,
+st AS (SELECT path, CASE WHEN k % 7 = 0 THEN 'skip' ELSE 'full' END AS depth, k % 7 = 0 AS override FROM (SELECT path, CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) AS k FROM g) WHERE k % 2 = 0)"""
+
+
+@query("join_plan_override", f"WITH {STORED} SELECT path, CASE WHEN override THEN st.depth ELSE g.depth END AS depth, CASE WHEN override THEN 'stored' ELSE reason END AS reason, coalesce(override, false) AS override FROM g LEFT JOIN st USING (path)")
 def join_plan_override(t):
     return planning.merge_plan(stored(t), depths(t))
 
 
-@query("plan_get")
+@query("plan_get", f"WITH {STORED} SELECT path, coalesce(st.depth, 'full') AS depth FROM g LEFT JOIN st USING (path)")
 def plan_get(t):
     return planning.plan_lookup(inbox(t), stored(t))
 
@@ -183,7 +187,20 @@ def merge_islands(t):
     return transcript.islands(transcript.flag(event_segments(t)), 3600)
 
 
-@query("merge_segments")
+def merged_sql(source: str, gap: int, chars: int = transcript.CHARS) -> str:
+    """The merge as a recursion over each file's segments (file, pos, start, end, speaker, text, flags): table ``merged``."""
+    joins = f"""len(s.flags) = 0 AND len(m.flags) = 0 AND s.speaker IS NOT DISTINCT FROM m.speaker AND s.start - m."end" <= {gap} AND length(m.text) + length(s.text) <= {chars}"""
+    return f"""ordered AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos) AS ord FROM {source}),
+steps AS (
+  SELECT file, ord, pos, start, "end", speaker, text, flags, 1 AS n FROM ordered WHERE ord = 1
+  UNION ALL
+  SELECT s.file, s.ord, CASE WHEN {joins} THEN m.pos ELSE s.pos END, CASE WHEN {joins} THEN m.start ELSE s.start END, s."end", s.speaker,
+    CASE WHEN {joins} THEN m.text || ' ' || s.text ELSE s.text END, s.flags, CASE WHEN {joins} THEN m.n + 1 ELSE 1 END
+  FROM steps m JOIN ordered s ON s.file = m.file AND s.ord = m.ord + 1),
+merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, pos ORDER BY ord DESC) AS last FROM steps) WHERE last = 1)"""
+
+
+@query("merge_segments", f"""WITH RECURSIVE {SEGMENTS}, {merged_sql('fl', 3600)} SELECT file, pos, start, "end", speaker, CAST(n AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS chars FROM merged""")
 def merge_segments(t):
     x = transcript.merge(transcript.flag(event_segments(t)), 3600)
     return x.select("file", "pos", "start", "end", "speaker", "n", LONG(F.length("text")).alias("chars"))
@@ -204,7 +221,24 @@ def transcripts(t):
     return body.select(name.alias("file"), F.concat(head, "body").alias("raw"))
 
 
-@query("parse_transcript")
+STAMP = "(?:\\d{1,2}:)?\\d{1,2}:\\d{2}"
+SEGMENT_SQL = f"'\\A\\[({STAMP})\\s*-\\s*({STAMP})\\]\\s*(?:([^:\\n]{{1,40}}?):(?:\\s|\\z))?(.*)\\z'"
+CODE = "CASE WHEN {0} >= 3600 THEN ({0} // 3600) || ':' || lpad(CAST({0} // 60 % 60 AS VARCHAR), 2, '0') ELSE lpad(CAST({0} // 60 AS VARCHAR), 2, '0') END || ':' || lpad(CAST({0} % 60 AS VARCHAR), 2, '0')"
+SECONDS = "list_reduce(list_transform(string_split({0}, ':'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 60 + b)"
+WHITE = "[ \\t\\n\\r\\f\\v]+"
+PARSED = f"""talk AS (
+  SELECT 'talks/talk-03-0' || (conv_id % 7 + 1) || '_' || conv_id || '.md' AS file, conv_id, string_agg(l, chr(10) ORDER BY turn, l) AS body
+  FROM (SELECT conv_id, turn, '[' || {CODE.format('(turn * 30)')} || ' - ' || {CODE.format('(turn * 30 + 20)')} || '] ' || coalesce(role, 'nobody') || ': ' || coalesce(text, '') AS l FROM conversations) GROUP BY conv_id),
+line AS (SELECT file, i AS ord, ls[i] AS line, regexp_matches(ls[i], {SEGMENT_SQL}) AS first FROM (SELECT file, regexp_split_to_array(body, '\\r\\n|\\n|\\r') AS ls FROM talk), unnest(range(1, len(ls) + 1)) AS u(i)),
+part AS (
+  SELECT file, ord, first, sum(CAST(first AS INT)) OVER (PARTITION BY file ORDER BY ord) AS seg, CASE WHEN first THEN regexp_extract(line, {SEGMENT_SQL}, 4) ELSE regexp_replace(line, '\\A{WHITE}|{WHITE}\\z', '', 'g') END AS said,
+    regexp_extract(line, {SEGMENT_SQL}, 1) AS a, regexp_extract(line, {SEGMENT_SQL}, 2) AS b, regexp_extract(line, {SEGMENT_SQL}, 3) AS who FROM line),
+parsed AS (
+  SELECT file, CAST(seg - 1 AS BIGINT) AS pos, {SECONDS.format("max(CASE WHEN first THEN a END)")} AS start, {SECONDS.format("max(CASE WHEN first THEN b END)")} AS "end", nullif(max(CASE WHEN first THEN who END), '') AS speaker, string_agg(said, ' ' ORDER BY ord) AS text
+  FROM part WHERE seg > 0 AND (first OR said <> '') GROUP BY file, seg)"""
+
+
+@query("parse_transcript", f"""WITH {PARSED} SELECT file, pos, start, "end", speaker, md5(text) AS md5 FROM parsed""")
 def parse_transcript(t):
     x = transcript.parse_segments(transcripts(t))
     return x.select("file", "pos", "start", "end", "speaker", F.md5("text").alias("md5"))
@@ -220,7 +254,16 @@ def date_audit(t):
     return transcript.date_audit(transcript.headers(transcripts(t)))
 
 
-@query("clean_transcript")
+FLAGGED = f"""fresh AS (SELECT *, CASE WHEN lag(lower(text)) OVER (PARTITION BY file ORDER BY pos) = lower(text) THEN 0 ELSE 1 END AS fresh FROM parsed),
+isle AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY pos) AS island FROM fresh),
+flagged AS (SELECT file, pos, start, "end", speaker, text, list_filter([CASE WHEN text = '' THEN 'empty' WHEN len(list_filter([{", ".join("'" + p.lower().replace("'", "''") + "'" for p in transcript.PHRASES)}], lambda p: contains(lower(text), p))) > 0 THEN 'phrase' END,
+  CASE WHEN text <> '' AND fresh = 0 AND count(*) OVER (PARTITION BY file, island) >= 3 THEN 'repeat' END], lambda x: x IS NOT NULL) AS flags FROM isle)"""
+
+
+@query("clean_transcript", f"""WITH RECURSIVE {PARSED}, {FLAGGED}, {merged_sql('flagged', transcript.GAP)},
+said AS (SELECT file, string_agg('[' || {CODE.format('start')} || ' - ' || {CODE.format('"end"')} || ']' || CASE WHEN speaker IS NOT NULL THEN ' ' || speaker || ':' ELSE '' END || CASE WHEN len(flags) > 0 THEN ' [flagged: ' || array_to_string(flags, ',') || ']' ELSE '' END || ' ' || text, chr(10) ORDER BY pos) AS body FROM merged GROUP BY file),
+whole AS (SELECT file, '# Talk ' || conv_id || chr(10) || '- recorded: 2024-03-0' || (conv_id % 9 + 1) || chr(10) || '- room: A' || chr(10) || 'free words' || chr(10) || '---' || chr(10) || s.body || chr(10) AS text FROM talk JOIN said s USING (file))
+SELECT file, CAST(length(text) AS BIGINT) AS n, md5(text) AS md5 FROM whole""")
 def clean_transcript(t):
     x = transcripts(t)
     segments = transcript.merge(transcript.flag(transcript.parse_segments(x)))
@@ -380,11 +423,13 @@ def join_ticks(t):
     return register.ticked(register.actions(registers(t), "Ann Lee", ["Ann"]), lines).select("action", "done")
 
 
-@query("chunk_store", """SELECT CAST(doc_id AS VARCHAR) AS page_address, CAST(0 AS BIGINT) AS chunk_index, sha256(text) AS body_hash FROM documents WHERE doc_id % 2 = 0
-UNION ALL SELECT CAST(doc_id AS VARCHAR), i, 'old' FROM documents, (VALUES (CAST(0 AS BIGINT)), (1)) AS v(i) WHERE doc_id % 3 = 0 AND doc_id % 2 = 1""")
+@query("chunk_store", """SELECT CAST(doc_id AS VARCHAR) AS page_address, i AS chunk_index, CASE WHEN i = 0 AND doc_id % 5 = 0 THEN 'old' ELSE sha256(text || i) END AS body_hash FROM documents, unnest(range(0, doc_id % 3 + 1)) AS u(i)
+UNION ALL SELECT 'gone-' || doc_id, 0, 'old' FROM documents""")
 def chunk_store(t):
-    """Every third document is stored in two old chunks; a run over the even ones rewrites them as one."""
-    page, same = F.col("doc_id").cast("string").alias("page_address"), F.lit("p").alias("page_body_hash")
-    new = t.documents.where("doc_id % 2 = 0").select(page, F.lit(0).cast("long").alias("chunk_index"), F.sha2("text", 256).alias("body_hash"), same)
-    old = t.documents.where("doc_id % 3 = 0").select(page, F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("chunk_index"), F.lit("old").alias("body_hash"), same)
+    """Every document is stored in up to four old chunks and under a page that is gone; a run over all documents rewrites them as up to three, some as they were."""
+    k, same = F.col("doc_id"), F.lit("p").alias("page_body_hash")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), k % n)).alias("chunk_index")
+    new = t.documents.select(k.cast("string").alias("page_address"), upto(3), "text", k).select("page_address", "chunk_index", F.when((F.col("chunk_index") == 0) & (k % 5 == 0), "old").otherwise(F.sha2(F.concat("text", F.col("chunk_index").cast("string")), 256)).alias("body_hash"), same)
+    old = t.documents.select(k.cast("string").alias("page_address"), upto(4), F.lit("old").alias("body_hash"), same)
+    old = old.unionByName(t.documents.select(F.concat(F.lit("gone-"), k.cast("string")).alias("page_address"), F.lit(0).cast("long").alias("chunk_index"), F.lit("old").alias("body_hash"), same))
     return sinks.chunk_store(new, old).select("page_address", "chunk_index", "body_hash")
