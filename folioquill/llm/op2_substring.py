@@ -21,8 +21,8 @@ from .common import materialize, tidy
 
 PASSAGE = 32  # words that make a span
 CUT = 4  # a sentence ends early after one in so many of its words
-FLUSH = 1_000_000  # spans that a task compares before it sends them on
-CHUNK = 1 << 20  # characters that are parsed at a time, but for longer texts
+FLUSH = 500_000  # spans that a task compares before it sends them on
+ROWS, CHUNK = 1000, 1 << 19  # rows and characters that are parsed at a time, but for longer texts
 #: Fixed values, as characters of a regular expression's class: what ends a sentence, white space, and letters of scripts without blanks, each of them a word.
 STOP = r".!?\n\r\x{85}\x{2028}\x{2029}\x{3002}\x{FF0E}\x{FF61}\x{FF01}\x{FF1F}\x{2026}\x{203C}\x{2047}-\x{2049}\x{61F}\x{6D4}\x{964}\x{965}"
 SPACE = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -154,7 +154,7 @@ def hash_spans(chunk: int, most: int):
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids, texts = np.asarray(batch.column(0)), [t or "" for t in batch.column(1).to_pylist()]
             for a, e in chunks(texts, chunk):
                 x = Parsed(texts[a:e])
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in y.select(*keep, "text").schema.fields) + ", _n_sentences long, _n_removed long, _n_cut_chars long"
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts, at, size = batch.column("text").to_pylist(), batch.column("__at"), batch.column("__size")
             counts = np.zeros((3, len(texts)), np.int64)
             for a, e in chunks([t or "" for t in texts], CHUNK):

@@ -17,7 +17,7 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 16, 6, 25.0
 SAMPLE = 4000
 #: Share of the correctly told validation rows that the rejection threshold may turn away.
 REJECT = 0.001
-CHUNK = 4_000_000
+CHUNK, ROWS = 4_000_000, 1000
 BLANK = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in bytes(range(256)).lower()], np.uint8)
 
 
@@ -139,7 +139,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def tell(batches):
         model = sent.value
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             texts = [t.as_py() for t in batch.column(names.index("text"))]
             lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             some = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
