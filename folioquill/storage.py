@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
@@ -22,6 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{os.path.join(tempfile.gettempdir(), 'folioquill-shared')}").rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written: whole texts are wide, and both sides hold a batch of each task.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most BATCH_ROWS rows for the jobs that run inside; the session's own setting is put back."""
+    before = spark.conf.get(_BATCH)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -30,7 +48,8 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     scopes = getattr(_local, "scopes", [])
     (scopes[-1] if scopes and not keep else _kept).append(path)
     return spark.read.schema(df.schema).parquet(path)
