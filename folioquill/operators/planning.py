@@ -81,6 +81,30 @@ def route(mode: Column, kind: Column, name: Column, minted: Column | None = None
     return out
 
 
+#: The settings of each mode where none are stored.
+MODE_DEFAULTS = {
+    "lyt": {"moc_folder": "wiki/mocs/", "notes_folder": "wiki/notes/"},
+    "para": {"projects_folder": "wiki/projects/", "areas_folder": "wiki/areas/", "resources_folder": "wiki/resources/", "archives_folder": "wiki/archives/"},
+    "zettelkasten": {"id_format": "YYYYMMDDHHMMSSffffff", "no_folders": "true", "root_folder": "wiki/"},
+    "generic": {"sources_folder": "wiki/sources/", "entities_folder": "wiki/entities/", "concepts_folder": "wiki/concepts/", "sessions_folder": "wiki/sessions/"},
+}
+
+
+def mode_config(stored: Column) -> Column:
+    """Struct (mode, configured_at, config) of a stored settings text (JSON): what it says of the known modes goes over the defaults.
+
+    Null or unreadable text gives the defaults, mode 'generic'.
+    """
+    found = F.from_json(stored, "mode string, configured_at string, config map<string,map<string,string>>")
+    no = F.create_map().cast("map<string,string>")
+    sections = []
+    for mode, values in MODE_DEFAULTS.items():
+        own = F.coalesce(F.element_at(found["config"], mode), no)
+        defaults = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        sections += [F.lit(mode), F.map_concat(F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(own), k)), own)]
+    return F.struct(F.coalesce(found["mode"], F.lit("generic")).alias("mode"), found["configured_at"].alias("configured_at"), F.create_map(*sections).alias("config"))
+
+
 #: Folder of a saved note by its type.
 SAVES = {"synthesis": "wiki/questions/", "concept": "wiki/concepts/", "source": "wiki/sources/", "decision": "wiki/meta/", "session": "wiki/meta/"}
 

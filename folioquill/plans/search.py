@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chunking, dedup, retrieval
 
@@ -34,6 +34,20 @@ def both_tiers(wiki: DataFrame, corpus: DataFrame) -> DataFrame:
     return wiki.withColumn("source_tier", F.lit("wiki")).unionByName(corpus.withColumn("source_tier", F.lit("corpus")), allowMissingColumns=True)
 
 
+def search_both(spark: SparkSession, queries: DataFrame, wiki: tuple[str, retrieval.Index | None], corpus: tuple[str, retrieval.Index | None], corpus_chunks: DataFrame | None = None, k: int = retrieval.TOP) -> tuple[dict[str, str], DataFrame | None]:
+    """({tier: status}, results) of both tiers, whose indexes come with their status from ``sinks.ensure_index``.
+
+    An unavailable tier has no rows; scores of the two are never mixed. None as results: neither tier is there.
+    """
+    parts = []
+    if wiki[1] is not None:
+        parts.append(search_pages(wiki[1], queries, k).withColumn("source_tier", F.lit("wiki")))
+    if corpus[1] is not None and corpus_chunks is not None:
+        parts.append(search_corpus(corpus_chunks, corpus[1], queries, k).withColumn("source_tier", F.lit("corpus")))
+    found = parts[0].unionByName(parts[1], allowMissingColumns=True) if len(parts) == 2 else parts[0] if parts else None
+    return {"wiki": wiki[0], "corpus": corpus[0] if corpus_chunks is not None else "unavailable"}, found
+
+
 def stage_counts(candidates: DataFrame, reranked: DataFrame, collapsed: DataFrame) -> DataFrame:
     """(query_id, candidates, reranked, collapsed)."""
     one = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from .office import docx_to_markdown, pptx_to_markdown
 
 PAGE_BYTES, TILING_BYTES = 256 * 1024, 128 * 1024
 CELLS = 2_000_000
@@ -99,7 +100,10 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> Data
 
 
 def workbook_rows(content: bytes, cells: int = CELLS) -> dict[str, list[list[str]]]:
-    """Rows of every sheet of an xlsx file as text: shared and inline strings, sparse cells padded, a limit on cells."""
+    """Rows of every sheet of an xlsx file as text: shared and inline strings, sparse cells padded.
+
+    A sheet ends with the row in which it passes ``cells`` cells; a sheet whose part is missing is left out.
+    """
     import io
     import re
     import zipfile
@@ -111,13 +115,16 @@ def workbook_rows(content: bytes, cells: int = CELLS) -> dict[str, list[list[str
         names = set(z.namelist())
         shared = [text(si) for si in E.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in E.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out, seen = {}, 0
+        out = {}
         for s in E.fromstring(z.read("xl/workbook.xml")).iter():
             if local(s) != "sheet":
                 continue
-            target = targets[next(v for k, v in s.attrib.items() if k.endswith("}id"))]
-            rows = []
-            for row in E.fromstring(z.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter():
+            target = targets.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), None), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part not in names:
+                continue
+            rows, seen = [], 0
+            for row in E.fromstring(z.read(part)).iter():
                 if local(row) != "row":
                     continue
                 found = []
@@ -130,9 +137,9 @@ def workbook_rows(content: bytes, cells: int = CELLS) -> dict[str, list[list[str
                     kind, value = c.get("t"), next((v.text or "" for v in c if local(v) == "v"), "")
                     found.append(shared[int(value)] if kind == "s" and value else text(c) if kind == "inlineStr" else value)
                     seen += 1
-                    if seen > cells:
-                        raise ValueError(f"more than {cells} cells")
                 rows.append(found)
+                if seen > cells:
+                    break
             out[s.get("name")] = rows
     return out
 
@@ -250,11 +257,13 @@ def mail_to_markdown(content: bytes) -> tuple[str, list[dict]]:
     return out, [{"type": "attachments", "detail": f"{len(names)} not converted"}] if names else []
 
 
-#: Converters by suffix: bytes -> (markdown, flags). Formats that need an outside engine (pdf, docx, pptx, msg) are registered by the user.
+#: Converters by suffix: bytes -> (markdown, flags). Formats that need an outside engine (pdf, msg, old binary formats) are registered by the user.
 HANDLERS: dict[str, Callable[[bytes], tuple[str, list[dict]]]] = {
     ".html": lambda b: (html_to_markdown(b.decode("utf-8", "replace")), []),
     ".htm": lambda b: (html_to_markdown(b.decode("utf-8", "replace")), []),
     ".eml": mail_to_markdown,
+    ".docx": docx_to_markdown,
+    ".pptx": pptx_to_markdown,
 }
 
 

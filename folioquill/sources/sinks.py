@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.chunking import changed_chunks, stale_chunks
-from ..operators.retrieval import Index
+from ..operators.retrieval import Index, build_index
 
 KEY = ["page_address", "chunk_index"]
 
@@ -26,6 +26,35 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "chunks", "terms", "stats")))
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole index versions below a path, oldest first: those whose last table is written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(conf)
+    if not fs.exists(top):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(top)]
+    return sorted(v for v in found if v.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/stats/_SUCCESS")))
+
+
+def ensure_index(spark: SparkSession, path: str, chunks: DataFrame | None, newest: float, **columns: str) -> tuple[str, Index | None]:
+    """(status, index) of the index kept below ``path``: 'ok', 'rebuilt+ok', or 'unavailable' with no index.
+
+    ``newest`` is the time, in seconds, of the latest change to what is indexed; an index from before it, or none, is
+    built anew from ``chunks`` beside the old versions, which readers may still hold. ``columns`` go to ``build_index``.
+    """
+    import time
+
+    have = _versions(spark, path)
+    if have and int(have[-1][1:]) / 1e6 >= newest:
+        return "ok", read_index(spark, f"{path}/{have[-1]}")
+    if chunks is None:
+        return "unavailable", None
+    version = f"v{time.time_ns() // 1000:020d}"
+    write_index(build_index(chunks, **columns), f"{path}/{version}")
+    return "rebuilt+ok", read_index(spark, f"{path}/{version}")
+
+
 def write_manifest(losers: DataFrame, path: str) -> None:
     """Ids that the index leaves out, sorted and distinct."""
     losers.select("chunk_id").distinct().orderBy("chunk_id").write.mode("overwrite").json(path)
