@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import text as T
 from ..operators import canvas, fidelity, graph, planning, register, retrieval
 from ..sources import files, sinks
 from .registry import query
 from .search import INDEX, index
-from .text import blocks_sql
+from .text import LOSERS, blocks_sql, chunk_table
 from .work import QUEUE, SEGMENTS, event_segments, inbox, numbered_docs, queue_events
 
 LONG = lambda c: c.cast("long")
@@ -210,3 +211,109 @@ def stream_sessions(t):
     from ..streaming import jobs
 
     return jobs.sessions(t.events.select("user_id", "ts"), "user_id", gap="1 hour")
+
+
+# files: written to the shared folder and read back
+
+
+def lines_of(df, tag):
+    """The path of a folder that holds a column of lines as text files."""
+    path = storage.scratch(df.sparkSession, tag)
+    df.write.text(path)
+    return path
+
+
+QUOTED = "c_name || ', \"Jr\"' || chr(10) || c_custkey"
+
+
+@query("scan_delimited", f"SELECT CAST(c_custkey AS VARCHAR) AS key, {QUOTED} AS name, CAST(3 AS BIGINT) AS cells FROM customer")
+def scan_delimited(t):
+    """Customers as CSV text with quotes and line ends in a cell."""
+    line = F.concat(key(t), F.lit(',"'), "c_name", F.lit(', ""Jr""\n'), key(t), F.lit('",x'))
+    x = files.read_delimited(t.spark, lines_of(t.customer.select(line), "csv") + "/part-*")
+    return x.select(F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"), LONG(F.size("cells")).alias("cells"))
+
+
+@query("scan_term_table", "SELECT lower(p_type) AS term, count(*) AS n, min(p_name) AS definition FROM part GROUP BY ALL")
+def scan_term_table(t):
+    """Part types as a term table with its columns in another order."""
+    from ..operators import tables
+
+    line = F.concat(key(t, "p_partkey"), F.lit(";"), "p_name", F.lit(";"), "p_type")
+    x = files.read_delimited(t.spark, lines_of(t.part.select(line), "terms") + "/part-*", ";")
+    term, definition = tables.pick_columns(["No", "Definition", "Term"])
+    return x.groupBy(F.lower(F.get("cells", F.lit(term))).alias("term")).agg(F.count("*").alias("n"), F.min(F.get("cells", F.lit(definition))).alias("definition"))
+
+
+@query("scan_jsonl_entries", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 10 <> 0")
+def scan_jsonl_entries(t):
+    """Customers as lines of JSON, every tenth line cut off."""
+    line = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(1).alias("more")))
+    line = F.when(F.col("c_custkey") % 10 == 0, F.substring(line, 1, 9)).otherwise(line)
+    return files.read_entries(t.spark, lines_of(t.customer.select(line), "jsonl"), "id long, name string")
+
+
+@query("sink_bm25_index", f"WITH {INDEX} SELECT df.term, df, sum(tf) AS total, any_value(n) AS n FROM df JOIN tf USING (term) CROSS JOIN st GROUP BY ALL")
+def sink_bm25_index(t):
+    """The index written, found whole by the second call and read back."""
+    from .search import docs
+
+    path = storage.scratch(t.spark, "index")
+    first, _ = sinks.ensure_index(t.spark, path, docs(t), 0)
+    second, i = sinks.ensure_index(t.spark, path, None, 0)
+    assert (first, second) == ("rebuilt+ok", "ok")
+    x = i.terms.join(i.postings.groupBy("term").agg(F.sum("tf").cast("decimal(38,0)").alias("total")), "term")
+    return x.crossJoin(F.broadcast(i.stats.select("n"))).select("term", "df", "total", "n")
+
+
+@query("sink_dedup_manifest", f"WITH {LOSERS} SELECT DISTINCT page || ':' || chunk_index AS chunk_id FROM losers")
+def sink_dedup_manifest(t):
+    """The manifest of duplicate chunks, written and read back."""
+    from ..operators import dedup
+
+    losers = dedup.dedup_losers(chunk_table(t), page="page_path")
+    path = storage.scratch(t.spark, "manifest")
+    sinks.write_manifest(losers.select(F.concat_ws(":", "page", F.col("chunk_index").cast("string")).alias("chunk_id")), path)
+    return t.spark.read.schema("chunk_id string").json(path)
+
+
+@query("anti_done", "SELECT run, count(*) FILTER (run = 1) > 0 AS converted, CASE run WHEN 1 THEN CAST(sum(length(c_name) + 1) AS BIGINT) ELSE 0 END AS chars FROM customer, (VALUES (1), (2)) AS v(run) GROUP BY run")
+def anti_done(t):
+    """A batch conversion of text files, and a second one for which all are done."""
+    root = lines_of(t.customer.select("c_name"), "inbox")
+    run = lambda k, done: files.convert_files(t.spark, root, done).where("route = 'passthrough'").agg(F.lit(k).alias("run"), (F.count("*") > 0).alias("converted"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
+    return run(1, None).unionByName(run(2, files.convert_files(t.spark, root).select("path")))
+
+
+@query("scan_xlsx", "SELECT p_brand AS file, 'Parts' AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row, CAST(p_partkey AS VARCHAR) AS a, '' AS b, p_name AS c FROM part")
+def scan_xlsx(t):
+    """A workbook for each brand, made of bytes and read by the workbook reader: numbers, a gap and inline strings."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        for b in batches:
+            for brand, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = "".join(f'<row><c r="A{i}"><v>{p["p_partkey"]}</v></c><c r="C{i}" t="inlineStr"><is><t>{escape(p["p_name"])}</t></is></c></row>' for i, p in enumerate(parts, 1))
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    z.writestr("xl/workbook.xml", '<workbook xmlns:q="q"><sheets><sheet name="Parts" q:id="a"/></sheets></workbook>')
+                    z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>')
+                    z.writestr("xl/worksheets/s.xml", f"<worksheet>{rows}</worksheet>")
+                for sheet, found in files.workbook_rows(out.getvalue()).items():
+                    cols = [[brand] * len(found), [sheet] * len(found), range(len(found)), *([r[k] for r in found] for k in range(3))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 2 else pa.string()) for k, c in enumerate(cols)], names=["file", "sheet", "row", "a", "b", "c"])
+
+    x = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("parts"))
+    return x.mapInArrow(run, "file string, sheet string, row long, a string, b string, c string")
+
+
+@query("mode_config", "SELECT c_custkey, CASE c_custkey % 3 WHEN 1 THEN 'para' ELSE 'generic' END AS mode, CASE c_custkey % 3 WHEN 1 THEN 'areas/' || c_custkey ELSE 'wiki/areas/' END AS areas, 'wiki/mocs/' AS mocs FROM customer")
+def mode_config(t):
+    k = F.col("c_custkey")
+    stored = F.when(k % 3 == 1, F.concat(F.lit('{"mode": "para", "config": {"para": {"areas_folder": "areas/'), key(t), F.lit('"}, "other": {}}}'))).when(k % 3 == 2, "{not json")
+    x = t.customer.select("c_custkey", planning.mode_config(stored).alias("m"))
+    return x.select("c_custkey", "m.mode", F.col("m.config")["para"]["areas_folder"].alias("areas"), F.col("m.config")["lyt"]["moc_folder"].alias("mocs"))

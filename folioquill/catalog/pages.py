@@ -106,13 +106,13 @@ sup AS (SELECT page, before AS target FROM o WHERE before IS NOT NULL), sby AS (
   first(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS head FROM orders) SELECT head, page, depth FROM o WHERE n > 1""")
 def lineage_chains(t):
     _, sup, _ = lineage(t)
-    return graph.lineage_chains(sup, sup.select(F.col("target").alias("page"), F.col("page").alias("target")), limit=400)
+    return graph.lineage_chains(sup, sup.select(F.col("target").alias("page"), F.col("page").alias("target")))
 
 
 @query("chain_head", f"WITH {LINEAGE} SELECT page, head FROM o WHERE page <> head")
 def chain_head(t):
     _, sup, _ = lineage(t)
-    return graph.chain_head(sup.select(F.col("target").alias("page"), F.col("page").alias("target")), limit=400)
+    return graph.chain_head(sup.select(F.col("target").alias("page"), F.col("page").alias("target")))
 
 
 @query("lineage_dangling", f"WITH {LINEAGE}, p AS (SELECT page FROM o WHERE status <> 'O') SELECT page, 'supersedes' AS field, target FROM sup WHERE target NOT IN (SELECT page FROM p) UNION ALL SELECT page, 'superseded_by', target FROM sby WHERE target NOT IN (SELECT page FROM p)")
@@ -218,7 +218,7 @@ def missing_pages(t):
 
 @query("missing_xrefs", "SELECT CAST(doc_id AS VARCHAR) AS page, w AS detail FROM documents, (VALUES ('License'), ('Apache'), ('BY-NC')) AS v(w) WHERE contains(text, w)")
 def missing_xrefs(t):
-    titles = t.region.limit(1).select(F.explode(F.array(F.lit("License"), F.lit("Apache"), F.lit("BY-NC"))).alias("title"))
+    titles = t.spark.range(1).select(F.explode(F.array(F.lit("License"), F.lit("Apache"), F.lit("BY-NC"))).alias("title"))
     return lint.missing_xrefs(t.documents.select(F.col("doc_id").cast("string").alias("stem"), F.col("text").alias("body")), titles).select("page", "detail")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import text as T
+from ..storage import materialize, tidy
 
 DAYS, NEVER = 30.0, 10_000
 #: Pages that are never scored.
@@ -139,30 +140,51 @@ def lineage_cycles(supersedes: DataFrame, limit: int = 100) -> DataFrame:
         SELECT DISTINCT array_sort(path) AS members, CAST(size(path) AS BIGINT) AS length FROM walk WHERE node = start""", edges=supersedes)
 
 
-def lineage_chains(supersedes: DataFrame, superseded_by: DataFrame, limit: int = 100) -> DataFrame:
-    """(head, page, depth): what every current version goes back to. A head supersedes and is superseded by none; a shared ancestor stands in each chain."""
-    spark = supersedes.sparkSession
-    heads = supersedes.select("page").distinct().join(superseded_by.select("page"), "page", "left_anti").join(supersedes.select(F.col("target").alias("page")), "page", "left_anti")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(head, page, depth, path) MAX RECURSION LEVEL {limit} AS (
-          SELECT page, page, 0, array(page) FROM {{heads}}
-          UNION ALL
-          SELECT w.head, e.target, w.depth + 1, array_append(w.path, e.target) FROM walk w JOIN {{edges}} e ON e.page = w.page
-          WHERE NOT array_contains(w.path, e.target))
-        SELECT head, page, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY head, page""", heads=heads, edges=supersedes)
+def _twice(steps: DataFrame) -> DataFrame:
+    """(page, target) two of the given steps apart."""
+    second = steps.select(F.col("page").alias("target"), F.col("target").alias("_far"))
+    return materialize(steps.join(second, "target").select("page", F.col("_far").alias("target")).distinct(), "steps")
 
 
-def chain_head(superseded_by: DataFrame, limit: int = 100) -> DataFrame:
-    """(page, head): the last version that each superseded page leads to; the smallest name if there are several."""
-    x = superseded_by.sparkSession.sql(f"""
-        WITH RECURSIVE walk(page, node, path) MAX RECURSION LEVEL {limit} AS (
-          SELECT page, target, array(page, target) FROM {{edges}}
-          UNION ALL
-          SELECT w.page, e.target, array_append(w.path, e.target) FROM walk w JOIN {{edges}} e ON e.page = w.node
-          WHERE NOT array_contains(w.path, e.target))
-        SELECT page, node FROM walk""", edges=superseded_by)
-    last = x.join(superseded_by.select(F.col("page").alias("node")), "node", "left_anti")
-    return last.groupBy("page").agg(F.min("node").alias("head"))
+@tidy
+def reached(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(head, page, depth): the pages that each head reaches over edges (page, target), and in how few steps; itself in 0.
+
+    Steps double in every round, so chains of n pages take log n rounds; forks and cycles add pages, not paths.
+    Rounds end when one finds no page: every page on a shortest way lies in the round before.
+    """
+    steps = materialize(edges.select("page", "target").where("page is not null and target is not null").distinct(), "steps")
+    found = materialize(starts.select(F.col("page").alias("head"), "page", F.lit(0).cast("long").alias("depth")).distinct(), "found")
+    n, size = found.count(), 1
+    while True:
+        more = found.join(steps, "page").select("head", F.col("target").alias("page"), (F.col("depth") + size).alias("depth"))
+        found = materialize(found.unionByName(more).groupBy("head", "page").agg(F.min("depth").alias("depth")), "found", keep=True)
+        now = found.count()
+        if now == n:
+            return found
+        n, size, steps = now, 2 * size, _twice(steps)
+
+
+def lineage_chains(supersedes: DataFrame, superseded_by: DataFrame) -> DataFrame:
+    """(head, page, depth): what every current version goes back to. A head supersedes and is superseded by none; a shared ancestor stands in each chain."""
+    heads = supersedes.select("page").distinct().join(superseded_by.select("page"), "page", "left_anti").join(supersedes.select(F.col("target").alias("page")), "page", "left_anti")
+    return reached(heads, supersedes)
+
+
+@tidy
+def chain_head(superseded_by: DataFrame) -> DataFrame:
+    """(page, head): the last version that each superseded page leads to; the smallest name if there are several, none from a closed cycle."""
+    steps = materialize(superseded_by.select("page", "target").where("page is not null and target is not null").distinct(), "steps", keep=True)
+    pages = steps.select("page").distinct()
+    last = steps.select(F.col("target").alias("page")).distinct().join(pages, "page", "left_anti")
+    ends = materialize(last.select("page", F.col("page").alias("head")), "ends", keep=True)
+    for _ in range(max(1, pages.count()).bit_length() + 1):  # no shortest way is longer than there are pages
+        if steps.isEmpty():
+            break
+        through = steps.join(ends.select(F.col("page").alias("target"), "head"), "target").select("page", "head")
+        ends = materialize(ends.unionByName(through).groupBy("page").agg(F.min("head").alias("head")), "ends", keep=True)
+        steps = _twice(steps)
+    return ends.join(pages, "page", "left_semi")
 
 
 def within_depth(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:

@@ -55,6 +55,13 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, for files that lazy results read; ``sweep`` removes it."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _kept.append(path)
+    return path
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark._jsc.hadoopConfiguration()
     for name in paths:

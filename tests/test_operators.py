@@ -325,3 +325,17 @@ def test_queue_listing_is_whole(spark):
     still = sorted((r for r in rows if not r[4]), key=lambda r: (r[3], r[0], r[1]))
     done = sorted((r for r in rows if r[4]), key=lambda r: (r[5] or "", r[3]), reverse=True)
     assert got == {(r[4], i + 1): r[1] for part in (still, done) for i, r in enumerate(part)}
+
+
+def test_long_and_forked_lineage(spark):
+    chain = [(f"c{i:04}", f"c{i + 1:04}") for i in range(700)]
+    fork = [(f"f{i}{a}", f"f{i + 1}{b}") for i in range(12) for a in "xy" for b in "xy"]  # 2^12 paths
+    cycle = [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("s", "r0")]
+    sup = spark.createDataFrame(chain + fork + cycle, "page string, target string")
+    by = sup.select(F.col("target").alias("page"), F.col("page").alias("target"))
+    got = {(r["head"], r["page"]): r["depth"] for r in graph.lineage_chains(sup, by).collect()}
+    assert all(got["c0000", f"c{i:04}"] == i for i in range(701))
+    assert {(h, p, d) for (h, p), d in got.items() if h == "f0x"} == {("f0x", "f0x", 0), *((("f0x", f"f{i}{a}", i)) for i in range(1, 13) for a in "xy")}
+    assert {(p, d) for (h, p), d in got.items() if h == "s"} == {("s", 0), ("r0", 1), ("r1", 2), ("r2", 3)}
+    heads = {r["page"]: r["head"] for r in graph.chain_head(by).collect()}
+    assert heads["c0700"] == "c0000" and heads["f12y"] == "f0x" and heads["r1"] == "s" and "c0000" not in heads
