@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ..functions import text as T
+from ..storage import materialize
 
 MIN_CHARS, ERROR, REVIEW, BLOCK = 400, 0.90, 0.80, 1024
 
@@ -19,7 +20,7 @@ def dedup_losers(chunks: DataFrame, page: str = "page", order: str = "chunk_inde
     """
     x = chunks.select(F.col(page).alias("page"), F.col(order).alias("at"), T.dedup_key(F.col(text)).alias("k"))
     per = x.groupBy("page").agg(F.count("*").alias("per_page"))
-    x = x.where(F.length("k") >= min_chars).select("page", "at", F.sha1("k").alias("hash")).join(per, "page")
+    x = materialize(x.where(F.length("k") >= min_chars).select("page", "at", F.sha1("k").alias("hash")).join(per, "page"), "keys", keep=True)
     place = F.struct("per_page", "page", "at")
     best = x.groupBy("hash").agg(F.min(place).alias("keeper"), F.count("*").alias("n")).where("n > 1")
     y = x.join(best, "hash").where(place != F.col("keeper"))

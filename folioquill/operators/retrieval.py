@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from ..functions import text as T
+from ..storage import materialize
 
 K1, B, CANDIDATES, TOP, PER_PAGE = 1.5, 0.75, 20, 5, 2
 #: What a tier adds to a score.
@@ -25,10 +26,14 @@ class Index:
 
 
 def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", page: str = "page", text: str = "text") -> Index:
-    """The inverted index as four tables. Chunks without tokens count towards n and the mean length."""
-    x = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(page).alias("page"), T.tokens(F.col(text)).alias("tokens"))
-    sized = x.select("chunk_id", "page", F.size("tokens").cast("long").alias("dl"))
-    postings = x.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """The inverted index as four tables. Chunks without tokens count towards n and the mean length.
+
+    Texts are read and cut into tokens once: tokens and postings are written to the shared folder.
+    """
+    tokens = T.tokens(F.col(text))
+    x = materialize(chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(page).alias("page"), tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")), "tokens", keep=True)
+    sized = x.select("chunk_id", "page", "dl")
+    postings = materialize(x.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf")), "postings", keep=True)
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
     return Index(postings, sized, terms, stats)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import chunking, dedup, retrieval
+from ..storage import materialize
 
 
 def corpus_index(docs: DataFrame, paragraph: str = chunking.PARAGRAPH, overrides: dict[str, str] | None = None) -> tuple[DataFrame, retrieval.Index]:
-    """Chunks without duplicates and their index, from docs (path, title, folder, body)."""
-    chunks = chunking.corpus_chunks(docs, paragraph=paragraph, overrides=overrides)
+    """Chunks without duplicates and their index, from docs (path, title, folder, body); chunks are cut once and written to the shared folder."""
+    chunks = materialize(chunking.corpus_chunks(docs, paragraph=paragraph, overrides=overrides), "chunks", keep=True)
     losers = dedup.dedup_losers(chunks, page="page_path")
     kept = chunks.join(losers.select(F.col("page").alias("page_path"), "chunk_index"), ["page_path", "chunk_index"], "left_anti")
     kept = kept.withColumn("chunk_id", F.concat_ws(":", "page_address", F.col("chunk_index").cast("string")))
