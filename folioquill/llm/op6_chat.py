@@ -77,7 +77,10 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         (F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, s: a + s) + F.get("head", i)).alias("start"),
         (F.get("sizes", i) - len(END) - 1 - F.get("head", i)).alias("length")))
     x = x.withColumn("loss_spans", F.filter(F.transform("turns", span), lambda s: s.isNotNull()))
-    return x.select("conv_id", "formatted", "turns", "loss_spans", "escaped", (F.col("turns") == F.col("source")).alias("identical"))
+    x = x.withColumn("identical", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)))
+    # one pass of escapes always suffices: the written text then holds no control string; should it not, the job fails rather than lose a turn
+    whole = F.when(F.col("identical"), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back as it was")))
+    return x.select("conv_id", whole.alias("formatted"), "turns", "loss_spans", "escaped", "identical")
 
 
 def digests(chats: DataFrame) -> DataFrame:

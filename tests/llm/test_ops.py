@@ -436,3 +436,47 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
 def test_chats_of_an_empty_table(spark):
     rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert op6_chat.digests(op6_chat.format_chats(rows)).count() == 0
+
+
+def fewest_bins(sizes, capacity):
+    """The fewest bins that hold the sizes, by trying every way."""
+    best, sizes = [len(sizes)], sorted(sizes, reverse=True)
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for b in sorted(set(bins)):
+            if b + sizes[k] <= capacity:
+                rest = list(bins)
+                rest.remove(b)
+                place(k + 1, [*rest, b + sizes[k]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_histogram_packing_by_brute_force():
+    rng, extra = random.Random(15), 0
+    for _ in range(300):
+        capacity = rng.randint(6, 20)
+        sizes = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        bins, ranks = defaultdict(list), defaultdict(list)
+        for size, r0, r1, base, per, offset in op10_packing.pack_histogram(Counter(sizes), capacity):
+            for rank in range(r0, r1):
+                ranks[size].append(rank)
+                bins[base + (rank - r0) // per].append((offset + (rank - r0) % per * size, size))
+        assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in Counter(sizes).items()}
+        for parts in bins.values():
+            at = 0
+            for offset, size in sorted(parts):
+                assert offset == at
+                at += size
+            assert at <= capacity
+        fewest = fewest_bins(sizes, capacity)
+        assert fewest <= len(bins) <= fewest + 1
+        extra += len(bins) - fewest
+    assert extra <= 30
