@@ -205,9 +205,21 @@ def address_map_check(t):
     return lint.address_map_check(m, p).select("page", "detail")
 
 
-@query("naming_rules", "SELECT 'folder_name' AS \"check\", CAST(c_custkey AS VARCHAR) AS page FROM customer")
+@query("naming_rules", """WITH p AS (SELECT p_partkey AS k, 'Page ' || (p_partkey // 2) AS stem, CASE p_partkey % 4 WHEN 0 THEN 'wiki/' WHEN 1 THEN 'wiki/Big Folder/' WHEN 2 THEN '' ELSE 'wiki/a-b/' END AS folder FROM part),
+n AS (SELECT count(DISTINCT stem) AS stems FROM p)
+SELECT 'repeated_stem' AS "check", stem AS page, CAST(count(*) AS VARCHAR) AS detail FROM p GROUP BY stem HAVING count(*) > 1
+UNION ALL SELECT 'folder_name', stem, folder FROM p WHERE folder = 'wiki/Big Folder/'
+UNION ALL SELECT 'tag_case', stem, 'Tag' || k FROM p WHERE k % 3 = 0
+UNION ALL SELECT 'link_case', stem, 'page ' || (k // 2) FROM p WHERE k % 5 = 0""")
 def naming_rules(t):
-    return lint.naming(raw_pages(t)).select("check", "page")
+    """Pages two by two under one stem, in four folders, with tags and links in two spellings."""
+    k = F.col("p_partkey")
+    half = F.floor(k / 2).cast("string")
+    folder = F.when(k % 4 == 0, "wiki/").when(k % 4 == 1, "wiki/Big Folder/").when(k % 4 == 2, "").otherwise("wiki/a-b/")
+    body = F.concat(F.lit("[["), F.when(k % 5 == 0, "page ").otherwise("Page "), half, F.lit("]] and [[Nowhere]]"))
+    tags = F.array(F.concat(F.when(k % 3 == 0, "Tag").otherwise("tag"), k.cast("string")), F.lit("plain"))
+    x = t.part.select(F.concat(F.lit("Page "), half).alias("stem"), F.concat(folder, F.lit("x.md")).alias("path"), tags.alias("tags"), body.alias("body"))
+    return lint.naming(x).select("check", "page", F.col("detail").cast("string").alias("detail"))
 
 
 @query("missing_pages", "SELECT l_shipmode AS page, CAST(count(DISTINCT l_orderkey) AS VARCHAR) AS detail FROM (SELECT l_orderkey, 'R' || (l_suppkey % 7) AS l_shipmode FROM lineitem) WHERE l_shipmode NOT IN (SELECT 'R' || r_regionkey FROM region) GROUP BY l_shipmode HAVING count(DISTINCT l_orderkey) >= 2")
@@ -293,9 +305,13 @@ def recent_activity(t):
     return t.orders.select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(15)
 
 
-@query("dashboard_counts", "SELECT p_brand AS type, count(*) AS pages FROM part GROUP BY ALL")
+@query("dashboard_counts", """WITH p AS (SELECT CASE p_size % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'source' ELSE p_brand END AS type, p_type, CASE WHEN p_size % 2 = 0 THEN p_brand END AS b FROM part)
+SELECT 'types' AS dashboard, type AS value, count(*) AS pages FROM p GROUP BY ALL UNION ALL SELECT 'entities', p_type, count(*) FROM p WHERE type = 'entity' GROUP BY ALL
+UNION ALL SELECT 'sources', coalesce(b, ''), count(*) FROM p WHERE type = 'source' GROUP BY ALL""")
 def dashboard_counts(t):
-    return t.part.groupBy(F.col("p_brand").alias("type")).agg(F.count("*").alias("pages"))
+    k = F.col("p_size")
+    kind = F.when(k % 3 == 0, "entity").when(k % 3 == 1, "source").otherwise(F.col("p_brand"))
+    return lint.dashboards(t.part.select(kind.alias("type"), F.col("p_type").alias("entity_type"), F.when(k % 2 == 0, F.col("p_brand")).alias("source_type")))
 
 
 def boards(t):

@@ -67,11 +67,30 @@ def address_map_check(manifest: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def naming(pages: DataFrame) -> DataFrame:
-    """Repeated stems and folders that are not lower-case with dashes, of pages (stem, path)."""
+    """Pages (stem, path, and where given tags, an array, and body) against the naming rules.
+
+    Findings: repeated stems, folders that are not lower-case with dashes, tags that are not lower-case, and
+    links that name a page but for the case of their letters.
+    """
     twice = pages.groupBy("stem").agg(F.count("*").alias("n")).where("n > 1")
     folder = F.regexp_extract("path", r"\A(.*/)[^/]*\z", 1)
     odd = pages.where((folder != "") & ~folder.rlike(r"\A([a-z0-9\-]+/)+\z"))
-    return finding(twice, "repeated_stem", "warning", F.col("stem"), F.col("n")).unionByName(finding(odd, "folder_name", "suggestion", F.col("stem"), folder))
+    out = finding(twice, "repeated_stem", "warning", F.col("stem"), F.col("n")).unionByName(finding(odd, "folder_name", "suggestion", F.col("stem"), folder))
+    if "tags" in pages.columns:
+        tags = pages.select("stem", F.explode(F.array_distinct("tags")).alias("tag")).where(F.col("tag") != F.lower("tag"))
+        out = out.unionByName(finding(tags, "tag_case", "suggestion", F.col("stem"), F.col("tag")))
+    if "body" in pages.columns:
+        links = pages.select("stem", F.explode(wikilinks(F.col("body"))).alias("link")).join(pages.select(F.col("stem").alias("link")).distinct(), "link", "left_anti")
+        near = pages.select(F.lower("stem").alias("_low")).distinct()
+        out = out.unionByName(finding(links.distinct().join(near, F.lower("link") == F.col("_low"), "left_semi"), "link_case", "warning", F.col("stem"), F.col("link")))
+    return out
+
+
+def dashboards(pages: DataFrame) -> DataFrame:
+    """(dashboard, value, pages): pages by type, entities by entity_type and sources by source_type, of pages (type, entity_type, source_type)."""
+    kinds = {"types": F.col("type"), "entities": F.when(F.col("type") == "entity", F.coalesce("entity_type", F.lit(""))), "sources": F.when(F.col("type") == "source", F.coalesce("source_type", F.lit("")))}
+    x = pages.select(F.explode(F.array(*[F.struct(F.lit(k).alias("dashboard"), v.alias("value")) for k, v in kinds.items()])).alias("d")).select("d.*")
+    return x.where("value is not null").groupBy("dashboard", "value").agg(F.count("*").alias("pages"))
 
 
 def missing_xrefs(pages: DataFrame, titles: DataFrame, limit: int = 100_000) -> DataFrame:

@@ -17,9 +17,9 @@ def corpus_index(docs: DataFrame, paragraph: str = chunking.PARAGRAPH, overrides
     return kept, retrieval.build_index(kept, page="page_path", text="contextualized_text")
 
 
-def search_corpus(chunks: DataFrame, index: retrieval.Index, queries: DataFrame, k: int = retrieval.TOP, bonus: dict[str, float] | None = None) -> DataFrame:
+def search_corpus(chunks: DataFrame, index: retrieval.Index, queries: DataFrame, k: int = retrieval.TOP, bonus: dict[str, float] | None = None, candidates: int = retrieval.CANDIDATES) -> DataFrame:
     """Corpus tier without vectors: BM25 over-fetched, normalised, tier bonus, at most two chunks of a page."""
-    hits = retrieval.bm25_top_k(index, retrieval.query_terms(queries), max(retrieval.CANDIDATES, k + 10))
+    hits = retrieval.bm25_top_k(index, retrieval.query_terms(queries), max(candidates, k + 10))
     hits = hits.join(chunks.select("chunk_id", "tier", "raw_text"), "chunk_id")
     return retrieval.diversify(retrieval.with_tier_bonus(hits, "score", True, bonus=bonus), k)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.chunking import changed_chunks, stale_chunks
 from ..operators.retrieval import Index, build_index
+from ..storage import materialize
 
 KEY = ["page_address", "chunk_index"]
 
@@ -84,6 +85,40 @@ def report(df: DataFrame, title: str, *order: str) -> DataFrame:
     return rows.select(F.concat(F.lit(head), "rows", F.lit("\n")).alias("text"))
 
 
+def write_conversion(converted: DataFrame, root: str) -> DataFrame:
+    """Write a batch conversion (``files.convert_files``) below ``root`` and return (path, target, bytes) of the files written.
+
+    Every converted text becomes ``<its path>.md`` in a tree like the source's. Beside it stand JSON lines: ``_done``
+    (path, target), ``_flags`` (path, type, detail), ``_errors`` (path, error) and ``_skipped`` (path, route). Files are written by the
+    tasks through the folder's own file system; a task that runs again writes the same files again.
+    """
+    converted = materialize(converted, "converted", keep=True)
+
+    def put(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        for b in batches:
+            sizes = []
+            for target, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                content = text.encode()
+                files.create_dir(f"{top}/{target}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{top}/{target}") as out:
+                    out.write(content)
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=["path", "target", "bytes"])
+
+    target = F.when(F.lower("path").endswith(".md"), F.col("path")).otherwise(F.concat("path", F.lit(".md")))
+    written = converted.where("text is not null").select("path", target.alias("target"), "text")
+    done = materialize(written.mapInArrow(put, "path string, target string, bytes long"), "done", keep=True)
+    done.select("path", "target").write.mode("overwrite").json(f"{root}/_done")
+    converted.select("path", F.explode("flags").alias("f")).select("path", "f.*").write.mode("overwrite").json(f"{root}/_flags")
+    converted.where("error is not null").select("path", "error").write.mode("overwrite").json(f"{root}/_errors")
+    converted.where("text is null and error is null").select("path", "route").write.mode("overwrite").json(f"{root}/_skipped")
+    return done
+
+
 def conversion_status(converted: DataFrame) -> DataFrame:
     """(route, files, flagged, failed) of a conversion run."""
     return converted.groupBy("route").agg(F.count("*").alias("files"), F.count_if(F.size("flags") > 0).alias("flagged"), F.count_if(F.col("error").isNotNull()).alias("failed"))

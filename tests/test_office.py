@@ -82,6 +82,21 @@ def test_conversion_of_office_files(spark, tmp_path):
     assert set(got) == {"a.docx", "bad.docx"} and got["a.docx"]["text"].startswith("# Top") and got["bad.docx"]["route"] == "error"
 
 
+def test_mirrored_tree(spark, tmp_path):
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    (src / "a b" / "c").mkdir(parents=True)
+    (src / "a b" / "c" / "w.docx").write_bytes(word_file())
+    (src / "n.md").write_text("né")
+    (src / "t.csv").write_text("a,b")
+    (src / "bad.pptx").write_bytes(b"no zip")
+    done = sinks.write_conversion(files.convert_files(spark, str(src)), out)
+    assert {(r["path"], r["target"], r["bytes"]) for r in done.where("path = 'n.md'").collect()} == {("n.md", "n.md", 3)}
+    assert (tmp_path / "out" / "a b" / "c" / "w.docx.md").read_text().startswith("# Top") and (tmp_path / "out" / "n.md").read_text() == "né"
+    read = lambda name: {r["path"] for r in spark.read.json(f"{out}/{name}").collect()}
+    assert (read("_done"), read("_flags"), read("_errors"), read("_skipped")) == ({"a b/c/w.docx", "n.md"}, {"a b/c/w.docx"}, {"bad.pptx"}, {"t.csv"})
+    assert files.convert_files(spark, str(src), spark.read.json(f"{out}/_done")).count() == 2
+
+
 def test_workbooks_are_cut_and_missing_sheets_skipped():
     row = lambda n: "<row>" + "".join(f'<c r="{chr(65 + k)}{n}"><v>{n}{k}</v></c>' for k in range(3)) + "</row>"
     book = packed({
@@ -116,3 +131,42 @@ def test_mode_config(spark):
     assert got[0]["mode"] == got[1]["mode"] == "generic" and got[0]["config"] == planning.MODE_DEFAULTS == got[1]["config"]
     assert (got[2]["mode"], got[2]["configured_at"]) == ("para", "d") and "other" not in got[2]["config"]
     assert got[2]["config"]["para"] == planning.MODE_DEFAULTS["para"] | {"areas_folder": "x/", "new": "y"}
+
+
+def test_service_loop(spark):
+    import json
+
+    from folioquill.plans.search import corpus_index
+    from folioquill.sources.service import Service
+
+    docs = spark.createDataFrame([("tier 1/a.md", "a", "tier 1", "Apples are red. " * 30), ("b.md", "b", "", "Pears are green.")], "path string, title string, folder string, body string")
+    service = Service(spark, *corpus_index(docs), docs)
+    asked = [
+        {"id": 1, "method": "initialize", "params": {"protocolVersion": "x"}}, {"method": "notifications/initialized"}, {"id": 2, "method": "ping"}, {"id": 3, "method": "tools/list"},
+        {"id": 4, "method": "tools/call", "params": {"name": "search_corpus", "arguments": {"query": "pears", "top_k": 99}}},
+        {"id": 5, "method": "tools/call", "params": {"name": "read_document", "arguments": {"path": "tier 1/a.md", "offset": 7, "length": 3}}},
+        {"id": 6, "method": "tools/call", "params": {"name": "read_document", "arguments": {"path": "../b.md"}}},
+        {"id": 7, "method": "tools/call", "params": {"name": "search_corpus", "arguments": {"query": "x", "top_k": "many"}}},
+        {"id": 8, "method": "tools/call", "params": {"name": "other"}}, {"id": 9, "method": "none"}, {"method": "none"},
+    ]
+    out = []
+    service.serve(["", "no json", "[1]", *map(json.dumps, asked)], out.append)
+    got = {r["id"]: r for r in map(json.loads, out)}
+    assert list(got) == [1, 2, 3, 4, 5, 6, 7, 8, 9] and all(r["jsonrpc"] == "2.0" for r in got.values())
+    text = lambda i: got[i]["result"]["content"][0]["text"]
+    assert got[1]["result"]["protocolVersion"] == "x" and len(got[3]["result"]["tools"]) == 2
+    assert text(4).startswith("- b.md\n") and "a.md" not in text(4)
+    assert text(5) == "tier 1/a.md — chars 7..10 of 480 (more follows from offset=10)\n\nare"
+    assert "outside" in text(6) and got[7]["result"]["isError"]
+    assert got[8]["error"]["code"] == got[9]["error"]["code"] == -32601
+
+
+def test_article_text_and_html_golden():
+    html = "<html><head><title>t</title></head><body><nav>menu</nav><h2>Head</h2><ul><li>a<li>b</ul><ol><li>x</li></ol><blockquote>q</blockquote><p>1 <em>i</em> <code>c</code><br>n</p><table><tr><th>h</th><td>v</td></tr></table><script>s()</script><img src='i.png' alt='I'></body></html>"
+    assert files.html_to_markdown(html) == "menu\n\n## Head\n\n- a\n- b\n\n1. x\n\n> q\n\n1 *i* `c`\nn\n\n| h | v |![I](i.png)\n"
+
+
+def test_defuddle_golden(spark):
+    html = "<header>top</header><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two</p><aside>ad</aside><p>&lt;three&gt;</p></article><!-- c --><footer>end</footer>"
+    got = spark.createDataFrame([(html,)], "h string").select(files.without_boilerplate(F.col("h")).alias("t")).collect()[0]["t"]
+    assert got == "A & B\none\ntwo\n<three>"
