@@ -195,7 +195,17 @@ def html_to_markdown(t):
     return files.html_column(t.pages.select("page_id", "html"), "html").select("page_id", LONG(F.length("markdown")).alias("n"), F.md5("markdown").alias("md5"))
 
 
-@query("defuddle")
+def visible_sql(html: str) -> str:
+    """The visible text of an article page."""
+    x = f"regexp_replace({html}, '(?is)" + "|".join(f"<{tag}\\b.*?</{tag}\\s*>" for tag in ("script", "style", "nav", "header", "footer", "aside", "form", "noscript", "iframe")) + "|<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?i)<(br|/p|/div|/li|/h[1-6])\\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+    for entity, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {char})"
+    white = "[ \\t\\n\\r\\f\\v]"
+    return STRIP.format(f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '{white}*\\n{white}*', chr(10), 'g')")
+
+
+@query("defuddle", f"SELECT page_id, CAST(length(x) AS BIGINT) AS n, md5(x) AS md5 FROM (SELECT page_id, {visible_sql('html')} AS x FROM pages)")
 def defuddle(t):
     x = files.without_boilerplate(F.col("html"))
     return t.pages.select("page_id", LONG(F.length(x)).alias("n"), F.md5(x).alias("md5"))
