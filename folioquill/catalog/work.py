@@ -80,8 +80,7 @@ def slugify(t):
 FROM (SELECT *, {SLUG.format('p_name')} AS s FROM part), (VALUES ('generic'), ('lyt'), ('para'), ('zettelkasten')) AS m(mode), (VALUES ('source'), ('entity'), ('concept'), ('session'), ('research')) AS k(kind)""")
 def route_path(t):
     modes, kinds = ("generic", "lyt", "para", "zettelkasten"), ("source", "entity", "concept", "session", "research")
-    x = t.part.select("p_partkey", "p_name", F.explode(F.array(*map(F.lit, modes))).alias("mode")).select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
-    return x.select("p_partkey", "mode", "kind", planning.route(F.col("mode"), F.col("kind"), F.col("p_name"), F.lit("7")).alias("path"))
+    return planning.routes(t.part.select("p_partkey", "p_name"), "p_name", modes, kinds, F.lit("7")).select("p_partkey", "mode", "kind", "path")
 
 
 @query("save_routing", "SELECT event_id, CASE event_type WHEN 'click' THEN 'wiki/concepts/' WHEN 'view' THEN 'wiki/sources/' ELSE 'wiki/questions/' END AS folder FROM events")

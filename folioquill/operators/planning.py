@@ -71,9 +71,12 @@ def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.agg(*[F.count_if(F.col("depth") == d).alias(d) for d in DEPTHS], F.count("*").alias("total"), F.count_if("override").alias("overrides"))
 
 
-def route(mode: Column, kind: Column, name: Column, minted: Column | None = None) -> Column:
-    """Path for new content; null for an unknown mode or type. Only the id mode needs ``minted``."""
-    fill = {"slug": T.slugify(name), "name": T.safe_name(name), "id": F.lit("") if minted is None else minted}
+def route(mode: Column, kind: Column, name: Column, minted: Column | None = None, slug: Column | None = None, safe: Column | None = None) -> Column:
+    """Path for new content; null for an unknown mode or type. Only the id mode needs ``minted``.
+
+    ``slug`` and ``safe``: the name's slug and safe form, where the caller has them as columns; else every branch makes its own.
+    """
+    fill = {"slug": T.slugify(name) if slug is None else slug, "name": T.safe_name(name) if safe is None else safe, "id": F.lit("") if minted is None else minted}
     out = F.when(F.lit(False), F.lit(""))
     for (m, k), pattern in ROUTES.items():
         parts = [F.lit(p) if i % 2 == 0 else fill[p] for i, p in enumerate(pattern.replace("{", "\0").replace("}", "\0").split("\0"))]
@@ -81,6 +84,17 @@ def route(mode: Column, kind: Column, name: Column, minted: Column | None = None
     return out
 
 
+def routes(names: DataFrame, name: str, modes: tuple[str, ...], kinds: tuple[str, ...], minted: Column | None = None) -> DataFrame:
+    """Every row of names once for each mode and kind, with (mode, kind, path).
+
+    Slugs are cut once a row, before rows multiply, and the rows are dealt anew: a small file is one task, its product is not.
+    """
+    x = names.repartition(*names.columns).select("*", T.slugify(F.col(name)).alias("_slug"), T.safe_name(F.col(name)).alias("_safe"))
+    each = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(k).alias("kind")) for m in modes for k in kinds])
+    x = x.select("*", F.explode(each).alias("_to")).select("*", "_to.mode", "_to.kind")
+    return x.select(*names.columns, "mode", "kind", route(F.col("mode"), F.col("kind"), F.col(name), minted, F.col("_slug"), F.col("_safe")).alias("path"))
+
+
 #: The settings of each mode where none are stored.
 MODE_DEFAULTS = {
     "lyt": {"moc_folder": "wiki/mocs/", "notes_folder": "wiki/notes/"},

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioquill.operators import best, retrieval
+from folioquill.operators import best, planning, retrieval
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ñu", "re") for b in ("n", "st", "ta", "x-y", "o's")]
 
@@ -46,3 +46,16 @@ def test_one_pass_keeps_k_rows_of_a_query_in_a_task(spark):
     kind = spark.range(1).schema["id"].dataType
     got = best.best_bm25(rows, [(1, "kan", 1.0), (2, "kan", 2.0), (2, "lost", 1.0)], kind, 3.0, 4, 1.5, 0.75).collect()
     assert sorted((r["query_id"], r["chunk_id"]) for r in got) == [(q, f"{i:05d}") for q in (1, 2) for i in range(4)]
+
+
+def test_routes_cut_slugs_before_rows_multiply(spark):
+    """Same paths as route; no regular expression stands above the product of rows."""
+    names = ["Andrej Karpathy", "../a b/c", "", None, "¿qué?", "--"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    modes, kinds = ("generic", "lyt", "para", "zettelkasten", "none"), ("source", "entity", "concept", "session", "research")
+    x = planning.routes(df, "n", modes, kinds, F.lit("7"))
+    m, k = F.explode(F.array(*map(F.lit, modes))), F.explode(F.array(*map(F.lit, kinds)))
+    want = df.select("i", "n", m.alias("mode")).select("*", k.alias("kind")).select("*", planning.route(F.col("mode"), F.col("kind"), F.col("n"), F.lit("7")).alias("path"))
+    assert sorted(map(str, x.collect())) == sorted(map(str, want.collect()))
+    above = lambda d: d._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_replace" in above(want) and "regexp_replace" not in above(x)
