@@ -24,6 +24,23 @@ def search_corpus(chunks: DataFrame, index: retrieval.Index, queries: DataFrame,
     return retrieval.diversify(retrieval.with_tier_bonus(hits, "score", True, bonus=bonus), k)
 
 
+def search_documents(docs: DataFrame, queries: DataFrame, k: int = retrieval.TOP, paragraph: str = chunking.PARAGRAPH, overrides: dict[str, str] | None = None, bonus: dict[str, float] | None = None, candidates: int = retrieval.CANDIDATES) -> DataFrame:
+    """What ``search_corpus`` finds over ``corpus_index(docs)``, without making the index: for one set of queries.
+
+    Chunks are written once, in the columns that are needed; losers are taken out of the table of lengths and query terms.
+    """
+    chunks = chunking.corpus_chunks(docs, paragraph=paragraph, overrides=overrides).select("page_path", "page_address", "chunk_index", "raw_text", "prefix", "tier")
+    chunks = materialize(chunks, "chunks", keep=True)
+    chunk_id = F.concat_ws(":", "page_address", F.col("chunk_index").cast("string"))
+    losers = dedup.dedup_losers(chunks, page="page_path").select(F.col("page").alias("page_path"), "chunk_index")
+    said = chunks.select(chunk_id.alias("chunk_id"), "page_path", "chunk_index", F.concat(F.col("prefix"), F.lit("\n\n"), F.col("raw_text")).alias("said"))
+    hits = retrieval.search(said, queries, max(candidates, k + 10), page="page_path", text="said", without=losers)
+    # an id may be of several chunks, of which losers are none
+    found = chunks.withColumn("chunk_id", chunk_id).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    found = materialize(found.join(losers, ["page_path", "chunk_index"], "left_anti").select("chunk_id", "tier", "raw_text"), "found", keep=True)
+    return retrieval.diversify(retrieval.with_tier_bonus(hits.join(found, "chunk_id"), "score", True, bonus=bonus), k)
+
+
 def search_pages(index: retrieval.Index, queries: DataFrame, k: int = retrieval.TOP) -> DataFrame:
     """Page tier without vectors: BM25 candidates, cut to k, best chunk of each page."""
     hits = retrieval.bm25_top_k(index, retrieval.query_terms(queries))

@@ -73,3 +73,15 @@ def test_keyword_baseline_in_one_pass_gives_what_joins_give(spark, monkeypatch):
     monkeypatch.undo()
     x = retrieval.keyword_baseline(pages.where("page <> 'n5'"), queries)
     assert "run" not in x._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # no word is shuffled
+
+
+def test_search_documents_gives_what_the_index_gives(spark):
+    from folioquill.plans import search as plans
+
+    copy = " ".join(texts(1, 3, 900))
+    long = [" ".join(texts(1, s, 900) + ["kan lota"] * 60) for s in range(4, 8)]
+    docs = spark.createDataFrame([(f"a/{i}.md", str(i), "a", b) for i, b in enumerate(long * 3 + [copy, copy] + texts(30) + [None])], "path string, title string, folder string, body string")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["kan lota", "minta rest", "document 3"])], "query_id int, text string")
+    cols = ["query_id", "chunk_id", "tier", "raw_text", "rank"]
+    want = sorted(map(tuple, plans.search_corpus(*plans.corpus_index(docs), queries).select(cols).collect()))
+    assert sorted(map(tuple, plans.search_documents(docs, queries).select(cols).collect())) == want and len(want) > 9
