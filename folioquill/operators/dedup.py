@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
-from ..storage import materialize
+from ..storage import materialize, scratch
 
-MIN_CHARS, ERROR, REVIEW, BLOCK = 400, 0.90, 0.80, 1024
+MIN_CHARS, ERROR, REVIEW, BLOCK = 400, 0.90, 0.80, 4096
+#: Rows of a block that meet another block at a time.
+STRIP = 512
 
 
 def dedup_losers(chunks: DataFrame, page: str = "page", order: str = "chunk_index", text: str = "raw_text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -35,37 +39,59 @@ def dedup_report(losers: DataFrame, top: int = 8) -> DataFrame:
 def similar_pairs(vectors: DataFrame, key: str = "key", vector: str = "vector", review: float = REVIEW, error: float = ERROR, block: int = BLOCK) -> DataFrame:
     """Exact all-pairs cosine at or above ``review``: (a, b, similarity, band).
 
-    Rows are dealt into about n / block blocks; every two blocks meet once as matrices. That is quadratic in
-    work, as the question is, but no task holds more than two blocks. Vectors of other lengths are not compared.
+    Rows are dealt into about n / block blocks, which are written once; every two blocks meet once as matrices, and
+    tasks read the two from the shared folder. That is quadratic in work, as the question is, but no row is copied
+    or shuffled again, and no task holds more than two blocks. Vectors of other lengths are not compared; rows with
+    a null id are in no pair.
     """
-    x = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    spark = vectors.sparkSession
+    x = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
     n = max(1, -(-x.count() // block))
-    x = x.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    x = x.select("id", "v", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    root = scratch(spark, "blocks")
+    x.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartition("block").write.partitionBy("block").parquet(root)
     kind = dict(x.dtypes)["id"]
+    arrow = to_arrow_type(x.schema["id"].dataType)
+    first = np.cumsum([0, *range(n, 1, -1)])  # the number of the first pair of each block
 
-    def compare(key, table):
-        i, j = (k.as_py() for k in key)
-        mine, ids, vs = np.asarray(table["mine"]), table["id"].to_pylist(), table["v"].to_pylist()
-        out = [[], [], []]
-        for size in {len(v) for v in vs}:
-            at = np.array([k for k, v in enumerate(vs) if len(v) == size])
-            m = np.array([vs[k] for k in at], np.float64).reshape(len(at), size)
+    def load(b):
+        """Per length of vectors: ids and unit vectors of a block."""
+        from pyarrow import dataset, fs
+
+        files, top = fs.FileSystem.from_uri(root)
+        if files.get_file_info(f"{top}/block={b}").type == fs.FileType.NotFound:
+            return {}
+        table = dataset.dataset(f"{top}/block={b}", filesystem=files, format="parquet").to_table(columns=["id", "v"]).combine_chunks()
+        ids = np.array(table["id"].to_pylist(), None if pa.types.is_integer(arrow) else object)
+        sizes, out = np.asarray(pc.list_value_length(table["v"])), {}
+        for size in np.unique(sizes).tolist():
+            flat = pc.list_flatten(table["v"].filter(pa.array(sizes == size))).combine_chunks()
+            m = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape((sizes == size).sum(), size)
             norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-            left = at[mine[at] == i]
-            right = left if i == j else at[mine[at] == j]
-            place = {k: r for r, k in enumerate(at)}
-            s = m[[place[k] for k in left]] @ m[[place[k] for k in right]].T if len(left) and len(right) else np.zeros((0, 0))
-            for p, q in zip(*np.nonzero(s >= review)):
-                a, b = ids[left[p]], ids[right[q]]
-                if a < b or (i != j and a > b):
-                    out[0].append(min(a, b))
-                    out[1].append(max(a, b))
-                    out[2].append(float(s[p, q]))
-        return pa.table({"a": pa.array(out[0], table["id"].type), "b": pa.array(out[1], table["id"].type), "similarity": pa.array(out[2], pa.float64())})
-
-    pairs = x.groupBy("i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
-    pairs = pairs.withColumn("similarity", F.round("similarity", 6))
+            out[size] = ids[sizes == size], np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        return out
+
+    def compare(batches):
+        at, left = None, {}
+        for batch in batches:
+            for pair in batch.column(0).to_pylist():
+                i = int(np.searchsorted(first, pair, "right")) - 1
+                j = i + pair - int(first[i])
+                if at != i:
+                    at, left = i, load(i)
+                right = left if i == j else load(j)
+                for size in left.keys() & right.keys():
+                    (ids, m), (others, w) = left[size], right[size]
+                    for k in range(0, len(ids), STRIP):
+                        s = m[k : k + STRIP] @ w.T
+                        p, q = np.nonzero(s >= review)
+                        a, b, s = ids[p + k], others[q], s[p, q]
+                        keep = (a < b) | ((a > b) & (i != j))
+                        keep = keep.astype(bool)
+                        a, b, s = a[keep], b[keep], s[keep]
+                        low = (a < b).astype(bool)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(low, a, b).tolist(), arrow), pa.array(np.where(low, b, a).tolist(), arrow), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
+
+    meetings = n * (n + 1) // 2
+    pairs = spark.range(0, meetings, 1, min(meetings, max(meetings // 8, 4 * spark.sparkContext.defaultParallelism)))
+    pairs = pairs.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").withColumn("similarity", F.round("similarity", 6))
     return pairs.withColumn("band", F.when(F.col("similarity") >= error, "error").otherwise("review"))

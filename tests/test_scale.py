@@ -85,3 +85,18 @@ def test_search_documents_gives_what_the_index_gives(spark):
     cols = ["query_id", "chunk_id", "tier", "raw_text", "rank"]
     want = sorted(map(tuple, plans.search_corpus(*plans.corpus_index(docs), queries).select(cols).collect()))
     assert sorted(map(tuple, plans.search_documents(docs, queries).select(cols).collect())) == want and len(want) > 9
+
+
+def test_similar_pairs_shuffle_rows_once(spark):
+    """A row went to every other block before."""
+    from folioquill.operators import dedup
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(f"{i:03d}", [r.gauss(0, 1) for _ in range(3 + i % 2)]) for i in range(150)] + [(None, [1.0] * 3), ("z", []), ("y", None)], "key string, vector array<double>")
+    got = dedup.similar_pairs(df, block=10, review=0.8)
+    rows = {k: v for k, v in df.collect() if k and v}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = {(a, b) for a in rows for b in rows if a < b and len(rows[a]) == len(rows[b]) and cos(rows[a], rows[b]) >= 0.8}
+    assert {(x["a"], x["b"]) for x in got.collect()} == want and got.count() == len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
