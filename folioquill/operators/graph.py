@@ -200,7 +200,7 @@ def within_depth(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
 def graph_view(pages: DataFrame, edges: DataFrame, colours: list[tuple[str, str]], root: str = "wiki/") -> DataFrame:
     """(stem, colour): pages under the root that have a link, coloured by the first matching folder."""
     inside = pages.where(F.col("path").startswith(root))
-    linked = edges.select(F.col("src").alias("stem")).unionByName(edges.select(F.col("dst").alias("stem")))
+    linked = edges.select(F.explode(F.array("src", "dst")).alias("stem")).distinct()  # so the join sorts stems, not edges
     colour = F.when(F.lit(False), F.lit(""))
     for folder, name in colours:
         colour = colour.when(F.col("path").startswith(folder), name)

@@ -113,3 +113,14 @@ def test_scan_xlsx_makes_workbooks_of_bounded_rows(spark, monkeypatch):
     assert ask() == want and len(want) > 75
     book = catalog.QUERIES["scan_xlsx"](spark, "/root/testdata/sf0.001")
     assert "book" in book._jdf.queryExecution().optimizedPlan().toString() and files.CELLS > 10 * 10_000
+
+
+def test_graph_view_joins_distinct_stems(spark):
+    """A page with many links was sorted once for each of its links before."""
+    from folioquill.operators import graph
+
+    pages = spark.createDataFrame([("a", "wiki/x/a"), ("b", "wiki/b"), ("c", "wiki/c"), ("d", "raw/d")], "stem string, path string")
+    edges = spark.range(1000).select(F.lit("a").alias("src"), F.when(F.col("id") % 2 == 0, "b").otherwise("d").alias("dst"))
+    x = graph.graph_view(pages, edges, [("wiki/x", "red")])
+    assert sorted(map(tuple, x.collect())) == [("a", "red"), ("b", None)]
+    assert "Aggregate [stem" in x._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1]
