@@ -55,7 +55,7 @@ def wikilinks(body: Column) -> Column:
 def link_edges(pages: DataFrame, stem: str = "stem", body: str = "body") -> DataFrame:
     """(src, dst) between pages of the table, without self links or repeats."""
     out = pages.select(F.col(stem).alias("src"), F.explode(wikilinks(F.col(body))).alias("dst"))
-    known = pages.select(F.col(stem).alias("dst")).distinct()
+    known = pages.select(F.col(stem).alias("dst")).distinct().hint("shuffle_hash")  # names are hashed, so links need no sort
     return out.where("src <> dst").join(known, "dst", "left_semi").select("src", "dst").distinct()
 
 
@@ -99,7 +99,8 @@ def orphans(pages: DataFrame, edges: DataFrame, exempt: Column | None = None) ->
 def dead_links(pages: DataFrame, stem: str = "stem", body: str = "body") -> DataFrame:
     """(src, dst) whose target is no page."""
     out = pages.select(F.col(stem).alias("src"), F.explode(wikilinks(F.col(body))).alias("dst"))
-    return out.join(pages.select(F.col(stem).alias("dst")), "dst", "left_anti").select("src", "dst").distinct()
+    known = pages.select(F.col(stem).alias("dst")).distinct().hint("shuffle_hash")
+    return out.join(known, "dst", "left_anti").select("src", "dst").distinct()
 
 
 # Lineage: supersedes (page, target) and superseded_by (page, target).

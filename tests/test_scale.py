@@ -124,3 +124,14 @@ def test_graph_view_joins_distinct_stems(spark):
     x = graph.graph_view(pages, edges, [("wiki/x", "red")])
     assert sorted(map(tuple, x.collect())) == [("a", "red"), ("b", None)]
     assert "Aggregate [stem" in x._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1]
+
+
+def test_links_meet_page_names_without_a_sort(spark):
+    """Also where several pages share a stem."""
+    from folioquill.operators import graph
+
+    pages = spark.createDataFrame([("a", "[[b]] [[zz]] [[a]]"), ("b", "[[a]]"), ("b", "[[a]] [[yy]]")], "stem string, body string")
+    for f, want in ((graph.link_edges, [("a", "b"), ("b", "a")]), (graph.dead_links, [("a", "zz"), ("b", "yy")])):
+        x = f(pages)
+        assert sorted(map(tuple, x.collect())) == want
+        assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()
