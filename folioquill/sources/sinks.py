@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.chunking import changed_chunks, stale_chunks
-from ..operators.retrieval import Index, build_index
+from ..operators.retrieval import Index, build_index, word_postings
 from ..storage import materialize
 
 KEY = ["page_address", "chunk_index"]
@@ -17,25 +17,32 @@ def chunk_store(new: DataFrame, old: DataFrame) -> DataFrame:
     return old.join(gone, KEY, "left_anti").unionByName(changed_chunks(new, old))
 
 
-def write_index(index: Index, path: str) -> None:
+def write_index(index: Index, path: str, names: tuple = ("postings", "chunks", "terms", "stats")) -> None:
     """Four Parquet tables. Readers open a path, so a new index is written beside the old one and then named."""
-    for name in ("postings", "chunks", "terms", "stats"):
+    for name in names:
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "chunks", "terms", "stats")))
+    """The index written to ``path``. Without a table of postings, the words hold them."""
+    postings, chunks, terms, stats = (f"{path}/{n}" for n in ("postings", "chunks", "terms", "stats"))
+    found = spark.read.parquet(postings) if _written(spark, postings) else word_postings(spark.read.parquet(f"{path}/words"))
+    return Index(found, *map(spark.read.parquet, (chunks, terms, stats)))
+
+
+def _written(spark: SparkSession, table: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
 def _versions(spark: SparkSession, path: str) -> list[str]:
     """Names of the whole index versions below a path, oldest first: those whose last table is written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    top = jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(conf)
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(top):
         return []
     found = [s.getPath().getName() for s in fs.listStatus(top)]
-    return sorted(v for v in found if v.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{v}/stats/_SUCCESS")))
+    return sorted(v for v in found if v.startswith("v") and _written(spark, f"{path}/{v}/stats"))
 
 
 def ensure_index(spark: SparkSession, path: str, chunks: DataFrame | None, newest: float, **columns: str) -> tuple[str, Index | None]:
@@ -52,7 +59,7 @@ def ensure_index(spark: SparkSession, path: str, chunks: DataFrame | None, newes
     if chunks is None:
         return "unavailable", None
     version = f"v{time.time_ns() // 1000:020d}"
-    write_index(build_index(chunks, **columns), f"{path}/{version}")
+    write_index(build_index(chunks, **columns, at=f"{path}/{version}"), f"{path}/{version}", ("terms", "stats"))
     return "rebuilt+ok", read_index(spark, f"{path}/{version}")
 
 

@@ -1,11 +1,13 @@
 """Ways that hold at size give what the plain ways give, and keep to their bounds."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioquill.operators import best, planning, retrieval
+from folioquill.operators import best, planning, postings, retrieval
+from folioquill.sources import sinks
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ñu", "re") for b in ("n", "st", "ta", "x-y", "o's")]
 
@@ -30,6 +32,43 @@ def test_search_gives_what_the_index_gives(spark, monkeypatch, limit):
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
 
 
+def shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_index_counts_words_where_they_stand(spark, tmp_path):
+    """The index is written without a shuffle of (term, chunk) pairs, here over 1 MB, and its postings once."""
+    r = random.Random(3)
+    rows = [(str(i), "p", " ".join(f"w{r.randrange(3000)}" for _ in range(400))) for i in range(400)] + [("x", "q", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, page string, text string").repartition(4).localCheckpoint()
+    before = shuffled(spark)
+    status, index = sinks.ensure_index(spark, f"file://{tmp_path}/index", chunks, 0)
+    assert status == "rebuilt+ok" and shuffled(spark) - before < 200_000
+    want = {(t, i): n for i, _, text in rows for t, n in Counter((text or "").split()).items()}
+    assert {(p["term"], p["chunk_id"]): p["tf"] for p in index.postings.collect()} == want and index.postings.count() == len(want)
+    assert {(c["chunk_id"], c["page"]): c["dl"] for c in index.chunks.collect()} == {(i, p): len((t or "").split()) for i, p, t in rows}
+    (version,) = (tmp_path / "index").iterdir()
+    assert sorted(d.name for d in version.iterdir()) == ["chunks", "stats", "terms", "words"]
+
+
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_index_adds_counts_of_chunks_that_share_an_id(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(postings, "WORDS", most)
+    rows = [(i % 9 or None, "p", t) for i, t in enumerate(texts(30, 4))] + [(20 + i, "q", t) for i, t in enumerate([*texts(8, 5), None, "", "kan kan"])]
+    chunks = spark.createDataFrame(rows, "id int, page string, body string").repartition(3)
+    index = sinks.ensure_index(spark, f"file://{tmp_path}/index", chunks, 0, chunk_id="id", text="body")[1]
+    want = Counter((t, i) for i, _, body in rows for t in (body or "").split())
+    for i in (index, sinks.read_index(spark, f"file://{next((tmp_path / 'index').iterdir())}"), retrieval.build_index(chunks, "id", "page", "body")):
+        got = [((p["term"], p["chunk_id"]), p["tf"]) for p in i.postings.collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert {t["term"]: t["df"] for t in i.terms.collect()} == Counter(t for t, _ in want)
+        assert Counter((c["chunk_id"], c["dl"]) for c in i.chunks.collect()) == Counter((k, len((body or "").split())) for k, _, body in rows)
+        assert i.stats.first()["n"] == len(rows)
+
+
 def test_search_leaves_rows_out(spark):
     rows = [(str(i), "a", i % 5, t) for i, t in enumerate(texts(60))]
     chunks = spark.createDataFrame(rows, "chunk_id string, page string, at int, text string")
