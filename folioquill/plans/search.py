@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window as W
 
 from ..operators import chunking, dedup, retrieval
 from ..storage import materialize
@@ -17,10 +17,18 @@ def corpus_index(docs: DataFrame, paragraph: str = chunking.PARAGRAPH, overrides
     return kept, retrieval.build_index(kept, page="page_path", text="contextualized_text")
 
 
+def _told(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (query_id, chunk_id, score, rank) with the rest of chunks (chunk_id, page, ...); ranks are dealt anew.
+
+    An id may be of chunks of several pages, for addresses are short hashes: they follow each other by page.
+    """
+    return hits.join(chunks, "chunk_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "page")))
+
+
 def search_corpus(chunks: DataFrame, index: retrieval.Index, queries: DataFrame, k: int = retrieval.TOP, bonus: dict[str, float] | None = None, candidates: int = retrieval.CANDIDATES) -> DataFrame:
     """Corpus tier without vectors: BM25 over-fetched, normalised, tier bonus, at most two chunks of a page."""
-    hits = retrieval.bm25_top_k(index, retrieval.query_terms(queries), max(candidates, k + 10))
-    hits = hits.join(chunks.select("chunk_id", "tier", "raw_text"), "chunk_id")
+    hits = retrieval.bm25_top_k(index, retrieval.query_terms(queries), max(candidates, k + 10), pages=False)
+    hits = _told(hits, chunks.select("chunk_id", F.col("page_path").alias("page"), "tier", "raw_text"))
     return retrieval.diversify(retrieval.with_tier_bonus(hits, "score", True, bonus=bonus), k)
 
 
@@ -34,11 +42,11 @@ def search_documents(docs: DataFrame, queries: DataFrame, k: int = retrieval.TOP
     chunk_id = F.concat_ws(":", "page_address", F.col("chunk_index").cast("string"))
     losers = dedup.dedup_losers(chunks, page="page_path").select(F.col("page").alias("page_path"), "chunk_index")
     said = chunks.select(chunk_id.alias("chunk_id"), "page_path", "chunk_index", F.concat(F.col("prefix"), F.lit("\n\n"), F.col("raw_text")).alias("said"))
-    hits = retrieval.search(said, queries, max(candidates, k + 10), page="page_path", text="said", without=losers)
+    hits = retrieval.search(said, queries, max(candidates, k + 10), page="page_path", text="said", without=losers, pages=False)
     # an id may be of several chunks, of which losers are none
     found = chunks.withColumn("chunk_id", chunk_id).join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    found = materialize(found.join(losers, ["page_path", "chunk_index"], "left_anti").select("chunk_id", "tier", "raw_text"), "found", keep=True)
-    return retrieval.diversify(retrieval.with_tier_bonus(hits.join(found, "chunk_id"), "score", True, bonus=bonus), k)
+    found = materialize(found.join(losers, ["page_path", "chunk_index"], "left_anti").select("chunk_id", F.col("page_path").alias("page"), "tier", "raw_text"), "found", keep=True)
+    return retrieval.diversify(retrieval.with_tier_bonus(_told(hits, found), "score", True, bonus=bonus), k)
 
 
 def search_pages(index: retrieval.Index, queries: DataFrame, k: int = retrieval.TOP) -> DataFrame:
